@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
+import struct
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,51 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that cut() wrote and nothing needs any more, and let go of finished shuffles."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if path.getParent().getName() == "lumenrel":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Free the files of shuffles whose results have been written; Spark does so when its driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.3)
+
+
+def routed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df with the rows of key k in partition k mod n."""
+    return df.repartitionById(n, F.pmod(F.col(key), F.lit(n)).cast("int"))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    at, out = 1, []
+    heads = [struct.unpack_from("<2sq", raw, 1 + 10 * k) for k in range(raw[0])]
+    at += 10 * raw[0]
+    for kind, n in heads:
+        dtype = np.dtype("<" + kind.decode())
+        out.append(np.frombuffer(raw, dtype, n, at))
+        at += n * dtype.itemsize
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers in the least unsigned type that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrel.llm import _common as c
-from lumenrel.llm import compression_rules, gam_quality, langid, mixing, unigram_pieces, url_rules
+from lumenrel.llm import compression_rules, gam_quality, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
 
 
 def op1_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 3) == 1)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(c.table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(c.table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
+def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(c.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = c.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return gam_quality.classify(c.table(spark, sf_dir, "documents"), labels, c.remainder("doc_id", 5) == 0)
@@ -43,7 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_unigram_pieces": op3_unigram_pieces,
         "op5_url_rules": op5_url_rules,
         "op6_language": op6_language,
+        "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
+        "op9_posting_lists": op9_posting_lists,
         "op10_quality": op10_quality,
     }
 
