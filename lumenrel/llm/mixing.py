@@ -34,6 +34,9 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SHARDS = 16
 SEED = 20240229
+SOURCES_SENT = 50_000
+#: Blocks of a source from which its last draws are picked.
+LAST_BLOCKS = 4
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -> list[float]:
@@ -112,16 +115,35 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long")
 
 
-def _placed(rows: DataFrame, totals: DataFrame, seed: int) -> DataFrame:
+def _beside(totals: DataFrame, sources: int) -> DataFrame:
+    """One row a source: sent to all tasks if that is a few MB at most, else joined by key with skew left to the planner."""
+    return F.broadcast(totals) if sources <= SOURCES_SENT else totals
+
+
+def _placed(rows: DataFrame, totals: DataFrame, sources: int, seed: int) -> DataFrame:
     """Adds key (of the source), its totals, block and rank, the place of a document inside its block."""
     return (
         rows.withColumn("key", _source_key(F.col("source")))
-        .join(totals.select("key", "source_size", "target", "passes", "rest", "blocks"), "key")
+        .join(_beside(totals, sources).select("key", "source_size", "target", "passes", "rest", "blocks"), "key")
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
         .withColumn("place", F.xxhash64("doc_id", F.lit(seed + 1)))
     )
 
 
+def _fill(f: pd.DataFrame) -> pd.DataFrame:
+    """Documents of the last blocks in permuted order, each taken if it fits; at the end one more if that comes nearer."""
+    f = f.groupby(["key", "block", "rank", "left", "place"], as_index=False)["size"].sum().sort_values(["rank", "place"])
+    gap, taken = float(f["left"].iloc[0]), []
+    for n in f["size"]:
+        taken.append(n <= gap)
+        gap -= n if taken[-1] else 0
+    f["taken"] = taken
+    rest = f[~f["taken"]]
+    if len(rest) and abs(rest["size"].min() - gap) < gap:
+        f.loc[rest["size"].idxmin(), "taken"] = True
+    return f[f["taken"]].groupby(["key", "block"], as_index=False).agg(chosen=("place", list))
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and the shard of each copy, for each row of docs."""
     spark = docs.sparkSession
@@ -135,7 +157,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SH
         passes = min(MOST_COPIES, int(t // r["size"])) if r["size"] else 0
         listed.append((r["key"], i, r["size"], t, passes, t - passes * r["size"], math.isqrt(max(0, r["n"] - 1)) + 1))
     totals = spark.createDataFrame(listed, "key string, number int, source_size long, target double, passes int, rest double, blocks long")
-    placed = _placed(rows, totals, seed)
+    placed = _placed(rows, totals, len(listed), seed)
 
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed + 2)), "block")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -144,26 +166,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SH
         .agg(F.sum("size").alias("words"))
         .withColumn("rank", F.row_number().over(order) - 1)
         .withColumn("after", F.sum("words").over(running))
-        .join(totals, "key")
-        .withColumn("left", F.col("rest") - (F.col("after") - F.col("words")))  # of the rest, before this block
-        .withColumn("whole", F.col("words") <= F.col("left"))
-        .withColumn("part", ~F.col("whole") & (F.col("left") > 0))
+        .join(_beside(totals, len(listed)), "key")
+        .withColumn("whole", F.col("after") <= F.col("rest"))
+        .withColumn("first", F.min(F.when(~F.col("whole"), F.col("rank"))).over(Window.partitionBy("key")))
+        .withColumn("left", F.col("rest") - F.coalesce(F.max(F.when(F.col("whole"), F.col("after"))).over(Window.partitionBy("key")), F.lit(0)))
+        .withColumn("part", ~F.col("whole") & (F.col("rank") < F.col("first") + LAST_BLOCKS) & (F.col("left") > 0))
     )
     blocks = c.cut(blocks, "blocks")
-    inside = Window.partitionBy("key").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # In the last block, documents in permuted order as long as they fit, then the one that best fills the gap.
-    last = placed.join(blocks.where("part").select("key", "block", "left"), ["key", "block"]).withColumn("upto", F.sum("size").over(inside))
-    filled = last.groupBy("key", "block").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("filled"))
-    gap = F.col("left") - F.coalesce("filled", F.lit(0))
-    miss = F.abs(F.col("size") - gap)
-    edges = (
-        last.join(filled, ["key", "block"])
-        .groupBy("key", "block")
-        .agg(
-            F.max(F.when(F.col("upto") <= F.col("left"), F.col("place"))).alias("upto"),
-            F.min_by("place", F.when((F.col("upto") > F.col("left")) & (miss < gap), F.struct(miss.alias("miss"), F.col("place").alias("place")))).alias("filler"),
-        )
-    )
+    # From the next few blocks, about LAST_BLOCKS * sqrt(n) documents, those that fill what is left.
+    last = placed.join(blocks.where("part").select("key", "block", "rank", "left"), ["key", "block"]).select("key", "block", "rank", "left", "place", "size")
+    edges = last.groupBy("key").applyInPandas(_fill, "key string, block long, chosen array<long>")
     drawn = {r["key"]: r["n"] for r in blocks.where("whole or part").groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     tree_args = ([x[4] * x[6] + drawn.get(x[0], 0) for x in listed], shards, seed)
 
@@ -175,8 +187,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SH
 
     dealt = blocks.join(edges, ["key", "block"], "left")
     shares = blocks.select("key", "block", "number", "blocks", "rank", "passes", "whole", "part").mapInPandas(deal, "key string, block long, whole boolean, part boolean, shards array<int>")
-    shares = shares.join(dealt.select("key", "block", "upto", "filler"), ["key", "block"])
-    extra = (F.col("whole") | (F.col("part") & (F.coalesce(F.col("place") <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("place") == F.col("filler"), F.lit(False))))).cast("int")
+    shares = shares.join(dealt.select("key", "block", "chosen"), ["key", "block"])
+    extra = (F.col("whole") | (F.col("part") & F.coalesce(F.array_contains("chosen", F.col("place")), F.lit(False)))).cast("int")
     return (
         placed.join(shares, ["key", "block"])
         .withColumn("copies", F.col("passes") + extra)
