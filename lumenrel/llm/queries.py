@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrel.llm import _common as c
-from lumenrel.llm import compression_rules, gam_quality, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
+from lumenrel.llm import compression_rules, gam_quality, katz, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
 
 
 def op1_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.measure(c.table(spark, sf_dir, "documents"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 5) != 1)
+
+
 def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_pieces.encode(c.table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_rules": op1_compression_rules,
+        "op2_katz": op2_katz,
         "op3_unigram_pieces": op3_unigram_pieces,
         "op5_url_rules": op5_url_rules,
         "op6_language": op6_language,
