@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenrel.llm import _common as c
-from lumenrel.llm import compression_rules, gam_quality, katz, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
+from lumenrel.llm import bwt_dedup, compression_rules, gam_quality, katz, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
 
 
 def op1_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_pieces.encode(c.table(spark, sf_dir, "documents"))
 
 
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.spans(c.table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(c.table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.default_rules(spark))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_compression_rules": op1_compression_rules,
         "op2_katz": op2_katz,
         "op3_unigram_pieces": op3_unigram_pieces,
+        "op4_bwt_dedup": op4_bwt_dedup,
         "op5_url_rules": op5_url_rules,
         "op6_language": op6_language,
         "op7_simhash": op7_simhash,
