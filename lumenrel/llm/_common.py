@@ -56,9 +56,10 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Free the files of shuffles whose results have been written; Spark does so when its driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)
+    for _ in range(2):  # the first finds the plans unreachable, the second their shuffles
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def routed(df: DataFrame, n: int, key: str) -> DataFrame:
