@@ -37,6 +37,7 @@ _WIDTHS = (13, 13, 13, 13, 12)
 _STARTS = tuple(accumulate((0, *_WIDTHS[:-1])))
 _MASKS = np.array([((1 << w) - 1) << s for w, s in zip(_WIDTHS, _STARTS, strict=True)], np.uint64)
 _BUDGETS = tuple(n * DISTANCE // SEGMENTS for n in range(1, SEGMENTS + 1))
+KEYS = SEGMENTS << 24  # above every key of one fingerprint
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
@@ -127,7 +128,7 @@ def links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """a, b: edges among distinct fingerprints (column fp) whose components are those of all links."""
+    """which, a, b: edges among distinct fingerprints (columns which, fp) whose components are those of all links of one `which`."""
     bits = lambda start, width: F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))
     keys = []
     for i in range(SEGMENTS):
@@ -136,7 +137,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         for k, (start, width) in enumerate(((_STARTS[j], half), (_STARTS[j] + half, _WIDTHS[j] - half))):
             value = bits(_STARTS[i], _WIDTHS[i]) * F.lit(1 << 8) + bits(start, width)
             keys.append((value * F.lit(2) + F.lit(k)) * F.lit(SEGMENTS) + F.lit(i))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"), "which").select("fp", (F.col("key") + F.col("which").cast("long") * F.lit(KEYS)).alias("key"))
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("own"), o) * F.col("blocks") + F.greatest(F.col("own"), o))
@@ -150,8 +151,12 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         def solve(key, cell, fp):
             # cells of one key are told apart by shifting the key; its low digit stays
             change = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-            a, b = links((change * SEGMENTS + key % SEGMENTS).astype(np.int64), fp.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            which, at = key // KEYS, np.flatnonzero(np.concatenate(([True], key[1:] // KEYS != key[:-1] // KEYS)))
+            out = []
+            for s, e in zip(at, np.append(at[1:], len(key)), strict=True):
+                a, b = links((change[s:e] * SEGMENTS + key[s:e] % SEGMENTS).astype(np.int64), fp[s:e].view(np.uint64))
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), which[s]), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["which", "a", "b"]))
+            return out
 
         for batch in batches:
             if not batch.num_rows:
@@ -164,29 +169,95 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
             last = (key == key[-1]) & (cell == cell[-1])  # may go on; a cell has a bounded number of rows
             cutoff = int(np.argmax(last))
             if cutoff:
-                yield solve(key[:cutoff], cell[:cutoff], fp[:cutoff])
+                yield from solve(key[:cutoff], cell[:cutoff], fp[:cutoff])
             held, rows = [(key[cutoff:], cell[cutoff:], fp[cutoff:])], len(key) - cutoff
         if held:
-            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "which int, a long, b long")
 
 
 def linked(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable by links) of each row."""
     prints = c.cut(fingerprints(docs, shingle), "fingerprints")
     heads = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = components(fingerprint_links(heads.select("fp")))
+    parts = components(fingerprint_links(heads.select("fp", F.lit(0).alias("which"))))
     placed = heads.join(parts, heads["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(smallest, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, one row an id."""
-    found = c.cut(linked(docs, shingle).select("doc_id", "component_id"), "components")
+def _described(docs: DataFrame, seeds: int) -> DataFrame:
+    """doc_id, form (a 128-bit hash of the lower-cased words) and `seeds` fingerprints of the set of words of each row."""
+    add = (np.arange(1, seeds + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in c.chunks(batches):
+            forms, prints = [], []
+            for t in c.texts(b.column("text")):
+                words = t.lower().split()
+                forms.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+                prints.append([fingerprint(x) for x in c.mix64(h + add)] if len(h) else [0] * seeds)
+            flat = np.array(prints, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seeds), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary()), lists], names=["doc_id", "form", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fps array<long>")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, twice: bool) -> DataFrame:
+    """The pairs (hi, lo) of doc ids whose sets of word shingles have a Jaccard similarity of `similarity` or more; `twice`: ids may repeat."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in c.chunks(batches):
+            own = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in c.texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["hi", "lo"])
+
+    nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
+    found = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
+    found = c.cut(found, "shingles").groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if twice else c.cut(found, "shingles")
+    a, b = (found.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("hi", "a"), ("lo", "b")))
+    return pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 6) -> DataFrame:
+    """doc_id and component_id of each row: documents linked by near copies, the Jaccard similarity of whose word shingles is high enough.
+
+    Candidates are pairs of documents that link by one of several independent fingerprints of their words; each candidate is then compared
+    exactly. Documents with the same words in the same order are one class from the start. Documents without an id are classes of their own.
+    """
+    prints = c.cut(_described(docs, seeds).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
+    twice = not prints.groupBy("doc_id").count().where("count > 1").isEmpty()
+    classes = c.cut(prints.groupBy("form").agg(F.min_by(F.struct("doc_id", "fps"), "doc_id").alias("x")).select("form", "x.doc_id", "x.fps"), "classes")
+    each = classes.select("doc_id", F.posexplode("fps").alias("which", "fp"))
+    heads = c.cut(each.groupBy("which", "fp").agg(F.min("doc_id").alias("head")), "heads")
+    links_ = fingerprint_links(heads.select("which", "fp"))
+    a, b = (heads.select("which", F.col("fp").alias(k), F.col("head").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    across = links_.join(a, ["which", "a"]).join(b, ["which", "b"]).select("x", "y")
+    same = each.join(heads, ["which", "fp"]).select(F.col("doc_id").alias("x"), F.col("head").alias("y"))
+    pairs = across.unionByName(same).where("x != y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
+    pairs = c.cut(pairs, "candidates")
+    parts = components(_similar(docs, pairs, shingle, similarity, twice), "hi", "lo")
+    named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("form", F.coalesce("component", "doc_id").alias("component_id"))
+    return prints.select("doc_id", "form").join(named, "form").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its near copies, one row an id; rows without an id stay."""
+    found = c.cut(near_copies(docs, shingle, similarity), "components")
+    c.release(docs.sparkSession)
     kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    twice = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = kept.dropDuplicates(["doc_id"]) if twice else kept
-    return kept.select(*docs.columns)
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
