@@ -139,7 +139,7 @@ def gathered(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int =
     """Like chunks(), with small batches put together: one table for about `limit` bytes of text."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for piece in chunks(batches, text, limit):
+    for piece in chunks(batches, text, max(1, limit // 4)):
         held.append(piece)
         size += pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
         if size >= limit:

@@ -37,6 +37,8 @@ from lumenrel.llm import _common as c
 from lumenrel.llm._anchors import SPAN, Hashes, anchors
 
 HOT = 20_000
+#: Text of a chunk; its arrays take some 60 times as much.
+CHUNK_BYTES = 2 << 20
 STOP = 0xFF  # ends a region; no valid text holds it
 TEXT, WHOLE, CONTESTED, SAME, STRINGS, MASK = range(6)
 MESSAGE = "part int, chunk long, kind int, block binary"
@@ -68,7 +70,7 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as chunks."""
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
-    for t in c.gathered(batches):
+    for t in c.gathered(batches, limit=CHUNK_BYTES):
         for b in t.to_batches():
             yield _message(0, number, TEXT, _freeze(b))
             number += 1
