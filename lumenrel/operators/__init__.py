@@ -1,0 +1 @@
+"""Recursive operators: fix-points and Datalog programs."""
