@@ -19,13 +19,18 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P), np.full(n, _INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def forget() -> None:
+    """Give the tables of powers back; workers outlive their tasks."""
+    _powers.cache_clear()
+
+
 class Hashes:
     """64-bit hashes of any spans of flat bytes, from prefix sums."""
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that an operator holds as numpy arrays at a time; one longer text is held alone.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 
 #: ASCII white space, the complement of the word class `[^\x20\x09-\x0D]`.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -95,6 +97,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python at most BATCH_BYTES (or one row) at a time instead of up to 64 MB."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

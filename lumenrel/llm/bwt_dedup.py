@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrel.llm import _common as c
-from lumenrel.llm._anchors import SPAN, Hashes, anchors
+from lumenrel.llm._anchors import SPAN, Hashes, anchors, forget
 
 HOT = 20_000
 #: Text of a chunk; its arrays take some 60 times as much.
@@ -116,6 +116,7 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                     if s.start < s.stop:
                         rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], r_hi[s], r_lo[s], first[s], width[s], own[s], np.array([base]))))
                 yield from _messages(rows)
+        forget()
 
     return run
 
@@ -418,7 +419,7 @@ def _run(docs: DataFrame, replace: bool) -> DataFrame:
     parts = c.partitions(spark)
     added = T._parse_datatype_string(ADDED).fields
     names = {f.name for f in added}
-    docs = docs.drop(*names)
+    docs = c.bounded(docs).drop(*names)
     chunks = c.cut(docs.mapInArrow(_store, MESSAGE), "chunks")
 
     def to_chunks(answers: DataFrame) -> DataFrame:

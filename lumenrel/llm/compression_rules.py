@@ -119,7 +119,7 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             rows = [measure_text(t, bands, packer) for t in c.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x)) for x in zip(*rows, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
 
 
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -130,4 +130,4 @@ def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for batch in c.chunks(batches):
             yield batch.filter(pa.array([measure_text(t, bands, packer)[-1] for t in c.texts(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.bounded(docs).mapInArrow(run, docs.schema)

@@ -119,7 +119,7 @@ def described(docs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([c.column(t, "doc_id"), values], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def fit(rows: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> Model:

@@ -354,7 +354,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; rows that meet `learn` are learnt from."""
     spark = docs.sparkSession
     parts = c.partitions(spark)
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    flagged = c.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     _, u = count_unigrams(flagged.where("learn"), parts)
     c.release(spark)
     sent = c.routed(flagged.mapInArrow(_send_pairs(parts, u), "part int, kind int, chunk long, block binary"), parts, "part")

@@ -131,7 +131,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, classes: in
 
 def fit(docs: DataFrame, most_rows: int = 2400, epochs: int = 3, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
     """A model of the languages of docs (doc_id, text, lang)."""
-    docs = docs.where("lang is not null").select("doc_id", "text", "lang")
+    docs = c.bounded(docs).where("lang is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(counts)
     width = len(ORDERS) * BUCKETS
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             name = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name, pa.string()), pa.array(np.where(known, p.max(axis=1), 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, held_out: Column, **options) -> DataFrame:

@@ -112,7 +112,7 @@ def sized(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long")
+    return c.bounded(docs).select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long")
 
 
 def _beside(totals: DataFrame, sources: int) -> DataFrame:

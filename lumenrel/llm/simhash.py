@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             found = np.array([fingerprint(shingle_hashes(t, shingle)) for t in c.texts(b.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _near(x: np.ndarray, first: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _described(docs: DataFrame, seeds: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seeds), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary()), lists], names=["doc_id", "form", "fps"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fps array<long>")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fps array<long>")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, twice: bool) -> DataFrame:

@@ -303,7 +303,7 @@ def with_pieces(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
         for b in c.chunks(batches, limit=2 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns, *_added(c.texts(b.column("text")), encoder)], names=[*b.schema.names, *names])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, *T._parse_datatype_string(ADDED).fields]))
+    return c.bounded(own).mapInArrow(run, T.StructType([*own.schema.fields, *T._parse_datatype_string(ADDED).fields]))
 
 
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -324,4 +324,4 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                 texts = [data[ends[i] : ends[i + 1]].tobytes().decode("utf-8", "replace") for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return c.bounded(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
