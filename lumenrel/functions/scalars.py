@@ -187,7 +187,7 @@ STRUCTURES = {
     | _ARITHMETIC
     | {
         "abs": F.abs, "ceil": lambda d: F.ceil(d).cast("int"), "compare": order_of, "decimal": lambda s: F.coalesce(s.try_cast("decimal(38,10)"), fail("Domain").cast("decimal(38,10)")), "/": _guard_zero(lambda a, b: a / b), "floor": lambda d: F.floor(d).cast("int"),
-        "fmt": lambda digits, d: F.translate(F.format_string(f"%.{digits}f", d), "-", "~"), "fromInt": lambda i: i.cast("decimal(38,10)"), "fromReal": lambda r: r.cast("decimal(38,10)"), "fromString": lambda s: F.translate(s, "~", "-").try_cast("decimal(38,10)"),
+        "fmt": lambda digits, d: F.translate(F.bround(d, digits).cast(f"decimal(38,{digits})").cast("string"), "-", "~"), "fromInt": lambda i: i.cast("decimal(38,10)"), "fromReal": lambda r: r.cast("decimal(38,10)"), "fromString": lambda s: F.translate(s, "~", "-").try_cast("decimal(38,10)"),
         "max": F.greatest, "min": F.least, "precision": lambda: F.lit(34), "radix": lambda: F.lit(10), "realCeil": F.ceil, "realFloor": F.floor, "realRound": lambda d: F.bround(d, 0), "realTrunc": trunc,
         "rem": _guard_zero(lambda a, b: a % b), "round": lambda d: F.bround(d, 0).cast("int"), "sign": lambda d: F.signum(d).cast("int"), "toReal": lambda d: d.cast("float"), "trunc": lambda d: trunc(d).cast("int"),
         "toString": lambda d: F.regexp_replace(F.regexp_replace(F.translate(d.cast("string"), "-", "~"), r"(\.\d*?)0+$", "$1"), r"\.$", ""),

@@ -93,7 +93,7 @@ def prefix(f: Callable[[Column], Column], s: Column) -> Column:
 STRUCTURES = {
     "String": _COMPARE
     | {
-        "^": lambda a, b: F.concat(a, b), "collate": lambda f, a, b: collate(f, chars(a), chars(b)), "compare": order_of, "concat": lambda c: F.array_join(c, ""), "concatWith": lambda sep, c: F.array_join(c, sep),
+        "^": lambda a, b: F.concat(a, b), "collate": lambda f, a, b: collate(f, chars(a), chars(b)), "compare": order_of, "concat": lambda c: F.array_join(c, ""), "concatWith": lambda sep, c: F.concat_ws("", F.slice(c, 1, 1), F.flatten(F.transform(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda x: F.array(sep, x)))),
         "explode": chars, "extract": extract, "fields": split_where, "fromCString": unescaped(_C_ESCAPES), "fromString": unescaped(_ESCAPES), "implode": lambda c: F.array_join(c, ""),
         "isPrefix": lambda p, s: F.startswith(s, p), "isSubstring": lambda p, s: F.contains(s, p), "isSuffix": lambda p, s: F.endswith(s, p),
         "map": lambda f, s: F.array_join(F.transform(chars(s), f), ""), "maxSize": lambda: F.lit(2**31 - 1), "size": F.length, "str": lambda c: c,

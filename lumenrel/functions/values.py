@@ -87,7 +87,7 @@ def _floor_to(n: int) -> Callable[[Column], Column]:
 
 
 def time_text(digits: int, t: Column) -> Column:
-    return F.translate(F.format_string(f"%.{digits}f", t.cast("decimal(28,9)") / F.lit(10**9)), "-", "~")
+    return F.translate(F.bround(t.cast("decimal(28,9)") / F.lit(10**9), digits).cast(f"decimal(30,{digits})").cast("string"), "-", "~")
 
 
 def variant(tag: str) -> Callable[[Column], Column]:

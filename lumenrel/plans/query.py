@@ -145,7 +145,7 @@ class Query:
         old = {v: k for k, v in new.items()}
         if [k for k in old if k not in self.names] and not lenient:
             raise errors.Error(f"rename: not there: {sorted(set(old) - set(self.names))}")
-        return self._with(self.df.withColumnsRenamed({k: v for k, v in old.items() if k in self.names}), [old.get(n, n) for n in self.names])
+        return self._with(self.df.select(*(F.col(f"`{n}`").alias(old.get(n, n)) for n in self.names), *self._hidden()), [old.get(n, n) for n in self.names])
 
     # -- order
 
