@@ -39,10 +39,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each n-gram, the offsets of the texts in them, and which texts have a letter."""
     low = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    code = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy() if low else np.zeros(0, np.uint32)
+    code = np.frombuffer("".join(t + " " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     plain = code < 128
     code[plain] = _KEEP[code[plain]]
-    owner = np.repeat(np.arange(len(low)), sizes + 1)[: len(code)]
+    owner = np.repeat(np.arange(len(low)), sizes + 1)
     lettered = np.bincount(owner[plain & (code != 32)], minlength=len(low)) > 0
     for i in np.flatnonzero(~lettered):
         lettered[i] = any(ch.isalpha() for ch in low[i])
