@@ -32,6 +32,8 @@ from lumenrel.llm._graph import components
 DISTANCE = 4
 SEGMENTS = 5
 BLOCK = 4096
+#: Rows of ids or pairs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
+SENT = 1_000_000
 SMALL = 8
 _WIDTHS = (13, 13, 13, 13, 12)
 _STARTS = tuple(accumulate((0, *_WIDTHS[:-1])))
@@ -137,44 +139,73 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         for k, (start, width) in enumerate(((_STARTS[j], half), (_STARTS[j] + half, _WIDTHS[j] - half))):
             value = bits(_STARTS[i], _WIDTHS[i]) * F.lit(1 << 8) + bits(start, width)
             keys.append((value * F.lit(2) + F.lit(k)) * F.lit(SEGMENTS) + F.lit(i))
+    spark, columns = distinct.sparkSession, "which int, a long, b long, key long"
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"), "which").select("fp", (F.col("key") + F.col("which").cast("long") * F.lit(KEYS)).alias("key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = keyed.repartition(c.partitions(spark), "key").sortWithinPartitions("key")
+    found = c.cut(dealt.mapInArrow(_link_groups, columns), "links")
+    links_, crowded = found.where("b is not null"), found.where("b is null")
+    if crowded.isEmpty():
+        return links_.select("which", "a", "b")
+    # Groups too large for one task: every pair of their blocks is a cell.
+    rows = crowded.select("key", F.col("a").alias("fp"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("own"), o) * F.col("blocks") + F.greatest(F.col("own"), o))
-    cells = keyed.join(full, "key").withColumn("own", own).select("fp", "key", F.explode(others).alias("cell"))
-    dealt = cells.repartition(c.partitions(distinct.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-
-        def solve(key, cell, fp):
-            # cells of one key are told apart by shifting the key; its low digit stays
-            change = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-            which, at = key // KEYS, np.flatnonzero(np.concatenate(([True], key[1:] // KEYS != key[:-1] // KEYS)))
-            out = []
-            for s, e in zip(at, np.append(at[1:], len(key)), strict=True):
-                a, b = links((change[s:e] * SEGMENTS + key[s:e] % SEGMENTS).astype(np.int64), fp[s:e].view(np.uint64))
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), which[s]), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["which", "a", "b"]))
-            return out
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(x).to_numpy() for x in ("key", "cell", "fp")))
-            rows += batch.num_rows
-            if rows < 100_000:
-                continue
-            key, cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = (key == key[-1]) & (cell == cell[-1])  # may go on; a cell has a bounded number of rows
-            cutoff = int(np.argmax(last))
-            if cutoff:
-                yield from solve(key[:cutoff], cell[:cutoff], fp[:cutoff])
-            held, rows = [(key[cutoff:], cell[cutoff:], fp[cutoff:])], len(key) - cutoff
-        if held:
-            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return dealt.mapInArrow(run, "which int, a long, b long")
+    cells = rows.join(blocks, "key").withColumn("own", own).select("fp", "key", F.explode(others).alias("cell"))
+    celled = cells.groupBy("key", "cell").applyInArrow(_link_cell, columns)
+    return links_.unionByName(celled).select("which", "a", "b")
+
+
+def _edges(which: np.ndarray, a: np.ndarray, b: np.ndarray | None, key: np.ndarray) -> list[pa.Array]:
+    second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+    return [pa.array(which, pa.int32()), pa.array(a.view(np.int64)), second, pa.array(key, pa.int64())]
+
+
+_EDGE_NAMES = ["which", "a", "b", "key"]
+
+
+def _link_cell(cell: pa.Table) -> pa.Table:
+    key = cell["key"].to_numpy()
+    out = cell_links(np.unique(cell["fp"].to_numpy()).view(np.uint64), int(key[0] % SEGMENTS))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64),) * 2
+    return pa.Table.from_arrays(_edges(np.full(len(a), key[0] // KEYS), a, b, np.full(len(a), key[0])), names=_EDGE_NAMES)
+
+
+def _link_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within groups of equal keys (which ascend); rows of groups of more than BLOCK are handed back without a partner."""
+    key, fp, crowd = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+
+    def settle(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        large = np.repeat((size := np.diff(np.append(at, len(key)))) > BLOCK, size)
+        if large.any():
+            yield pa.RecordBatch.from_arrays(_edges(key[large] // KEYS, fp[large], None, key[large]), names=_EDGE_NAMES)
+        key, fp = key[~large], fp[~large]
+        if len(key):
+            which = key // KEYS
+            edge = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+            for s, e in zip(edge, np.append(edge[1:], len(key)), strict=True):
+                a, b = links(key[s:e], fp[s:e])
+                yield pa.RecordBatch.from_arrays(_edges(np.full(len(a), which[s]), a, b, np.zeros(len(a), np.int64)), names=_EDGE_NAMES)
+
+    for batch in batches:
+        key = np.concatenate((key, batch.column("key").to_numpy()))
+        fp = np.concatenate((fp, batch.column("fp").to_numpy().view(np.uint64)))
+        if crowd is not None:
+            more = int(np.searchsorted(key, crowd, side="right"))
+            if more:
+                yield pa.RecordBatch.from_arrays(_edges(key[:more] // KEYS, fp[:more], None, key[:more]), names=_EDGE_NAMES)
+            key, fp = key[more:], fp[more:]
+        if len(key) < 100_000:
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        yield from settle(key[:last], fp[:last])
+        key, fp, crowd = key[last:], fp[last:], None
+        if len(key) > BLOCK:
+            yield pa.RecordBatch.from_arrays(_edges(key // KEYS, fp, None, key), names=_EDGE_NAMES)
+            key, fp, crowd = key[:0], fp[:0], key[0]
+    if len(key):
+        yield from settle(key, fp)
 
 
 def linked(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -207,6 +238,11 @@ def _described(docs: DataFrame, seeds: int) -> DataFrame:
     return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fps array<long>")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, twice: bool) -> DataFrame:
     """The pairs (hi, lo) of doc ids whose sets of word shingles have a Jaccard similarity of `similarity` or more; `twice`: ids may repeat."""
 
@@ -224,11 +260,11 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float,
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["hi", "lo"])
 
-    nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
-    found = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
+    nodes = c.cut(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct(), "nodes")
+    found = docs.select("doc_id", "text").join(_sent(nodes), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
     found = c.cut(found, "shingles").groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if twice else c.cut(found, "shingles")
     a, b = (found.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("hi", "a"), ("lo", "b")))
-    return pairs.join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
+    return _sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 6) -> DataFrame:
@@ -257,7 +293,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """The rows of docs whose doc_id is the least of its near copies, one row an id; rows without an id stay."""
     found = c.cut(near_copies(docs, shingle, similarity), "components")
     c.release(docs.sparkSession)
-    kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    gone = c.cut(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    kept = docs.where("doc_id is not null").join(_sent(gone), "doc_id", "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
