@@ -13,6 +13,8 @@ from lumenrel.operators.fixpoint import iterate
 from lumenrel.plans import aggregates as A
 from lumenrel.plans import invert as V
 from lumenrel.plans.query import Desc, Query, bag, from_, range_
+from lumenrel.plans.text import Session
+from lumenrel.plans.types import Checked, Datatype
 from lumenrel.sources.files import parquet
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -378,6 +380,60 @@ def word_functions(spark, d):
     return q.yield_({"k": lambda k: k, "low": lambda w: L["Word"]["toLargeIntX"](L["Word"]["andb"](w, F.lit(255))), "x": lambda w: L["Word"]["toLargeIntX"](L["Word"]["xorb"](w, F.lit(1023)))}).frame()
 
 
+def text_query(name: str, source: str, sql: str, *tables: str) -> None:
+    """A query in the text form, over tables bound by name."""
+    def made(spark, d):
+        return Session(spark, **{t: parquet(spark, d, t) for t in tables}).run(source).frame()
+    _queries[name], _sql[name] = made, sql
+
+
+text_query(
+    "text_group", "from l in lineitem where l.l_quantity > 30.0 group {l.l_returnflag, l.l_linestatus} compute {c = count over (), q = sum over l.l_quantity} order l_returnflag",
+    "SELECT l_returnflag, l_linestatus, count(*) AS c, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 30 GROUP BY ALL", "lineitem",
+)
+text_query(
+    "text_join", "from c in customer, n in nation where c.c_nationkey = n.n_nationkey andalso c.c_acctbal > 9000.0 yield {c.c_custkey, n.n_name}",
+    "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000", "customer", "nation",
+)
+text_query(
+    "text_left_join", "from n in nation left join s in supplier on n.n_nationkey = s.s_nationkey yield {n.n_name, key = case s of SOME x => x.s_suppkey | NONE => Int.abs (~1)}",
+    "SELECT n_name, coalesce(s_suppkey, 1) AS key FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey", "nation", "supplier",
+)
+text_query(
+    "text_exists", "from o in orders where exists (from l in lineitem where l.l_orderkey = o.o_orderkey andalso l.l_quantity > 49.0) yield {o.o_orderkey}",
+    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)", "orders", "lineitem",
+)
+text_query(
+    "text_forall", "from o in orders where (forall l in lineitem where l.l_orderkey = o.o_orderkey require l.l_quantity > 10.0) yield {o.o_orderkey}",
+    "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT (l_quantity > 10))", "orders", "lineitem",
+)
+text_query(
+    "text_order_take", "from c in customer order (DESC c.c_acctbal, c.c_custkey) take 15 yield {c.c_custkey, kind = if c.c_acctbal > 9990.0 then \"top\" else \"high\"}",
+    "SELECT c_custkey, CASE WHEN c_acctbal > 9990 THEN 'top' ELSE 'high' END AS kind FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15", "customer",
+)
+text_query(
+    "text_let_fn", "let fun clip x = if x < 0.0 then 0.0 else x in from c in customer group c.c_mktsegment compute {total = sum over clip (Real.realFloor c.c_acctbal), n = count over ()} end",
+    "SELECT c_mktsegment, sum(greatest(floor(c_acctbal), 0)) AS total, count(*) AS n FROM customer GROUP BY 1", "customer",
+)
+text_query(
+    "text_set_operations", "from k in (from c in customer yield c.c_nationkey) except distinct (from s in supplier where s.s_acctbal > 5000.0 yield s.s_nationkey) yield {k}",
+    "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", "customer", "supplier",
+)
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS positive FROM customer")
+def checked_type(spark, d):
+    positive = Checked("positive", "double", (lambda x: x >= 0,))
+    return from_(c=scan(spark, d, "customer")).yield_({"k": lambda c: c.c_custkey, "positive": lambda c: positive.as_opt(c.c_acctbal)}).frame()
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN p_size * 1.0::DOUBLE WHEN p_size < 30 THEN p_retailprice ELSE 0.0::DOUBLE END AS v FROM part")
+def datatype_case(spark, d):
+    kind = Datatype("kind", {"NONE_OF": None, "SMALL": "int", "PRICED": "double"})
+    q = from_(p=scan(spark, d, "part")).yield_({"k": lambda p: p.p_partkey, "x": lambda p: F.when(p.p_size < 10, kind.make("SMALL", p.p_size)).when(p.p_size < 30, kind.make("PRICED", p.p_retailprice)).otherwise(kind.make("NONE_OF"))})
+    return q.yield_({"k": lambda k: k, "v": lambda x: kind.case(x, NONE_OF=lambda: F.lit(0.0), SMALL=lambda n: n.cast("double"), PRICED=lambda r: r)}).frame()
+
+
 def queries() -> dict[str, Made]:
     return dict(_queries)
 
