@@ -38,14 +38,18 @@ class Hashes:
         up, self.down = _powers(1 << max(16, int(len(data)).bit_length()))
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(c._BYTE_KEYS[data] * up[: len(data)], out=self.sums[1:])
+        terms = c._BYTE_KEYS[data]
+        terms *= up[: len(data)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return c.mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
     def grams(self, n: int) -> np.ndarray:
         m = len(self.sums) - n
-        return (self.sums[n:] - self.sums[:m]) * self.down[:m]
+        out = self.sums[n:] - self.sums[:m]
+        out *= self.down[:m]
+        return out
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +71,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes) -> tuple[np.n
         size *= 2
     if size < WINDOW:
         least = np.minimum(least[: len(least) - (WINDOW - size)], least[WINDOW - size :])
-    picked = (least[:m] & low).astype(np.int64)
+    del g
+    least &= low
+    picked = least[:m].astype(np.int64)
+    del least
     inside = np.ones(m + 1, bool)
     inside[m] = False
     for e in offsets[1:-1].tolist():  # strings that would cross into the next text

@@ -38,7 +38,7 @@ from lumenrel.llm._anchors import SPAN, Hashes, anchors, forget
 
 HOT = 20_000
 #: Text of a chunk; its arrays take some 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 STOP = 0xFF  # ends a region; no valid text holds it
 TEXT, WHOLE, CONTESTED, SAME, STRINGS, MASK = range(6)
 MESSAGE = "part int, chunk long, kind int, block binary"
@@ -100,6 +100,7 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                 known = ~null[doc]
                 at, first, last, gram, doc = (x[known] for x in (at, first, last, gram, doc))
                 region = c.mix64(hashes.of(first, last + SPAN) + (at - first).astype(np.uint64) * _ANCHOR) >> _REGION
+                del hashes, data
                 anchor = gram >> _REGION
                 part = _part(anchor, parts)
                 order = np.argsort((part.astype(np.uint64) << np.uint64(48)) | anchor)

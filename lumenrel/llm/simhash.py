@@ -284,7 +284,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     same = each.join(heads, ["which", "fp"]).select(F.col("doc_id").alias("x"), F.col("head").alias("y"))
     pairs = across.unionByName(same).where("x != y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
     pairs = c.cut(pairs, "candidates")
-    parts = components(_similar(docs, pairs, shingle, similarity, twice), "hi", "lo")
+    similar = c.cut(_similar(docs, pairs, shingle, similarity, twice), "similar")  # one Python worker a task at a time
+    parts = components(similar, "hi", "lo")
     named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("form", F.coalesce("component", "doc_id").alias("component_id"))
     return prints.select("doc_id", "form").join(named, "form").select("doc_id", "component_id")
 
