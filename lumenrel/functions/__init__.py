@@ -1,9 +1,9 @@
 """The function library, by structure: `library["String"]["size"]` is a function of Columns (or of functions of Columns)."""
 
-from lumenrel.functions import collections, scalars, text, values
+from lumenrel.functions import collections, more, scalars, text, values
 
 library: dict[str, dict] = {}
-for _module in (collections, scalars, text, values):
+for _module in (collections, scalars, text, values, more):
     for _name, _structure in _module.STRUCTURES.items():
         library.setdefault(_name, {}).update(_structure)
 
