@@ -118,6 +118,7 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                         rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], r_hi[s], r_lo[s], first[s], width[s], own[s], np.array([base]))))
                 yield from _messages(rows)
         forget()
+        c.trim()
 
     return run
 
@@ -180,6 +181,7 @@ def _sort_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = i[edge[n] : edge[n + 1]]
                 out.append((part, int(chunks[n]), k, c.pack(*(c.narrow(x[s]) for x in arrays))))
         yield from _messages(out)
+    c.trim()
 
 
 def rotation_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -273,6 +275,8 @@ def _shards(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                 base = int(doc[s].min())
                 out.append((p, chunk, CONTESTED, c.pack(transform[a:b], c.narrow(stop_row[s] - a), size[s].astype(np.uint8), c.narrow(first[s]), shift[s].astype(np.uint8), c.narrow(doc[s] - base), np.array([base]))))
             yield from _messages(out)
+        forget()
+        c.trim()
 
     return run
 
@@ -347,6 +351,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, ch, f = np.bitwise_or.reduceat(bit, new), ch[new], f[new]
         edge = np.searchsorted(ch, np.arange(len(chunks) + 1))
         yield from _messages([(part, int(chunks[n]), MASK, c.pack(c.narrow(f[edge[n] : edge[n + 1]]), mask[edge[n] : edge[n + 1]])) for n in np.flatnonzero(np.diff(edge))])
+    c.trim()
 
 
 def _covered(n: int, rows: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -410,6 +415,7 @@ def _finish(replace: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                 del columns["text"]
             columns |= dict(zip((x.split()[0] for x in ADDED.split(", ")), map(pa.array, zip(*stats, strict=True)), strict=True))
             yield pa.RecordBatch.from_pydict(columns)
+        c.trim()
 
     return run
 

@@ -105,7 +105,8 @@ def _by_part(batches: Iterable[pa.RecordBatch], take: Callable[[dict[int, list[t
         columns = [x.to_pylist() for x in b.columns]
         for row in zip(*columns, strict=True):
             held.setdefault(row[0], []).append(row[1:])
-    return take(held)
+    yield from take(held)
+    c.trim()
 
 
 def count_unigrams(docs: DataFrame, parts: int) -> tuple[DataFrame, Unigrams]:

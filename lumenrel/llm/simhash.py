@@ -259,6 +259,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float,
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["hi", "lo"])
+        c.trim()
 
     nodes = c.cut(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct(), "nodes")
     found = docs.select("doc_id", "text").join(_sent(nodes), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
