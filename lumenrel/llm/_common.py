@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that an operator holds as numpy arrays at a time; one longer text is held alone.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: ASCII white space, the complement of the word class `[^\x20\x09-\x0D]`.
 SPACE = b" \t\n\x0b\x0c\r"

@@ -38,7 +38,7 @@ from lumenrel.llm._anchors import SPAN, Hashes, anchors, forget
 
 HOT = 20_000
 #: Text of a chunk; its arrays take some 60 times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 18
 STOP = 0xFF  # ends a region; no valid text holds it
 TEXT, WHOLE, CONTESTED, SAME, STRINGS, MASK = range(6)
 MESSAGE = "part int, chunk long, kind int, block binary"

@@ -130,18 +130,25 @@ def _placed(rows: DataFrame, totals: DataFrame, sources: int, seed: int) -> Data
     )
 
 
-def _fill(f: pd.DataFrame) -> pd.DataFrame:
-    """Documents of the last blocks in permuted order, each taken if it fits; at the end one more if that comes nearer."""
-    f = f.groupby(["key", "block", "rank", "left", "place"], as_index=False)["size"].sum().sort_values(["rank", "place"])
-    gap, taken = float(f["left"].iloc[0]), []
-    for n in f["size"]:
-        taken.append(n <= gap)
-        gap -= n if taken[-1] else 0
-    f["taken"] = taken
-    rest = f[~f["taken"]]
-    if len(rest) and abs(rest["size"].min() - gap) < gap:
-        f.loc[rest["size"].idxmin(), "taken"] = True
-    return f[f["taken"]].groupby(["key", "block"], as_index=False).agg(chosen=("place", list))
+def _fill(t: pa.Table) -> pa.Table:
+    """Documents of the last blocks of a source in permuted order, each taken if it fits; at the end one more if that comes nearer."""
+    found: dict[tuple, int] = {}  # rows of one id share their fate
+    for key, block, rank, place, size in zip(*(t[n].to_pylist() for n in ("key", "block", "rank", "place", "size")), strict=True):
+        found[rank, place, block, key] = found.get((rank, place, block, key), 0) + size
+    gap, taken, left = float(t["left"][0].as_py()), [], []
+    for at in sorted(found):
+        if found[at] <= gap:
+            gap -= found[at]
+            taken.append(at)
+        else:
+            left.append(at)
+    if left and abs(found[nearest := min(left, key=lambda at: (found[at], at))] - gap) < gap:
+        taken.append(nearest)
+    chosen: dict[tuple, list[int]] = {}
+    for _, place, block, key in taken:
+        chosen.setdefault((key, block), []).append(place)
+    columns = [k for k, _ in chosen], [b for _, b in chosen], list(chosen.values())
+    return pa.table({"key": pa.array(columns[0], pa.string()), "block": pa.array(columns[1], pa.int64()), "chosen": pa.array(columns[2], pa.list_(pa.int64()))})
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -175,7 +182,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SH
     blocks = c.cut(blocks, "blocks")
     # From the next few blocks, about LAST_BLOCKS * sqrt(n) documents, those that fill what is left.
     last = placed.join(blocks.where("part").select("key", "block", "rank", "left"), ["key", "block"]).select("key", "block", "rank", "left", "place", "size")
-    edges = last.groupBy("key").applyInPandas(_fill, "key string, block long, chosen array<long>")
+    edges = last.groupBy("key").applyInArrow(_fill, "key string, block long, chosen array<long>")
     drawn = {r["key"]: r["n"] for r in blocks.where("whole or part").groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     tree_args = ([x[4] * x[6] + drawn.get(x[0], 0) for x in listed], shards, seed)
 

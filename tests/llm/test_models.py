@@ -104,6 +104,14 @@ def test_targets():
     assert mixing.targets([0, 0], [1, 2]) == [0, 0] and mixing.targets([], []) == []
 
 
+def test_mixing_when_nothing_fits(spark):
+    """One long document a source: no rest can be filled."""
+    rows = [(1, "w " * 500, "a"), (2, "w " * 300, "b"), (3, "w " * 700, "c")]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.source_size, r.target, r.copies * r.size <= 3 * r.size) for r in got} == {1: (500, 250.0, True), 2: (300, 500.0, True), 3: (700, 750.0, True)}
+    assert {r.doc_id: r.copies for r in got} == {1: 0, 2: 2, 3: 1}
+
+
 def test_splitting_tree():
     tree = mixing.SplittingTree([50, 7, 0, 120], 8, 3)
     quotas = np.array([tree.quota(s) for s in range(8)])
