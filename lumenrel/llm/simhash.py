@@ -17,7 +17,7 @@ their fingerprint; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,6 +35,12 @@ BLOCK = 4096
 #: Rows of ids or pairs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
 SENT = 1_000_000
 SMALL = 8
+#: Near copies: documents from which frequent shingles are counted and shingles kept of them; rows of a key all of whose pairs are
+#: candidates at once; rows of a block of larger keys; allowance for rounding in bounds.
+SAMPLE, FREQUENT = 5000, 500_000
+FEW = 4
+CELL = 1024
+SLACK = 1e-6
 _WIDTHS = (13, 13, 13, 13, 12)
 _STARTS = tuple(accumulate((0, *_WIDTHS[:-1])))
 _MASKS = np.array([((1 << w) - 1) << s for w, s in zip(_WIDTHS, _STARTS, strict=True)], np.uint64)
@@ -219,23 +225,15 @@ def linked(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _described(docs: DataFrame, seeds: int) -> DataFrame:
-    """doc_id, form (a 128-bit hash of the lower-cased words) and `seeds` fingerprints of the set of words of each row."""
-    add = (np.arange(1, seeds + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id and form (a 128-bit hash of the lower-cased words) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.chunks(batches):
-            forms, prints = [], []
-            for t in c.texts(b.column("text")):
-                words = t.lower().split()
-                forms.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-                prints.append([fingerprint(x) for x in c.mix64(h + add)] if len(h) else [0] * seeds)
-            flat = np.array(prints, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seeds), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary()), lists], names=["doc_id", "form", "fps"])
+            forms = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in c.texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary())], names=["doc_id", "form"])
 
-    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fps array<long>")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary")
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -268,27 +266,138 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float,
     return _sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 6) -> DataFrame:
+def _frequent(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several of about SAMPLE of the documents hold, and in how many; they only order shingles, no pair depends on them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in c.chunks(batches):
+            own = [np.unique(shingle_hashes(t, shingle)) for t in c.texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
+    found = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), np.minimum(found["count"].to_numpy(), 65535).astype(np.uint16)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key (a shingle), id, n (shingles of the document) and rest (those from this one on) for the rarest shingles of each document.
+
+    A set of n shingles has at least similarity * n in common with any set that is similar enough, so with all sets in one order
+    the two share one of their first n - similarity * n + 1.
+    """
+    known, count = often
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in c.chunks(batches, limit=1 << 20):
+            keys, sizes, rests = [], [], []
+            for t in c.texts(b.column("text")):
+                h = np.unique(shingle_hashes(t, shingle))
+                n = len(h)
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, count[at], 0), kind="stable")]
+                first = min(n, n - int(np.ceil(similarity * n - SLACK)) + 1)
+                keys.append(h[:first])
+                sizes.append(np.full(first, n, np.int32))
+                rests.append(np.arange(n, n - first, -1, dtype=np.int32))
+            ids = np.repeat(b.column("doc_id").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rests))], names=["key", "id", "n", "rest"])
+
+    return docs.mapInArrow(run, "key long, id long, n int, rest int")
+
+
+def _may_fit(n: np.ndarray, rest: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j of one key can have enough in common if this shingle is the first that they share."""
+    return np.minimum(rest[i], rest[j]) >= similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - SLACK
+
+
+_CELL_SCHEMA = "key long, a long, b long, n int, rest int"
+
+
+def _cells(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidate pairs (a, b) of equal keys, in order of key and id: all of keys of up to FEW rows, else those with the key's first row; rows of larger keys follow (no b)."""
+
+    def emit(k: np.ndarray, i: np.ndarray, n: np.ndarray, r: np.ndarray, size: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = [(start, np.arange(len(k)))]
+        for d in range(1, FEW):
+            x = np.flatnonzero(k[d:] == k[:-d]) if d < len(k) else np.zeros(0, np.int64)
+            x = x[(size[x] <= FEW) & (start[x] != x)]
+            pairs.append((x, x + d))
+        x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
+        keep = (i[x] != i[y]) & _may_fit(n, r, x, y, similarity)
+        found = np.unique(np.stack((i[x[keep]], i[y[keep]]), axis=1), axis=0)
+        none = lambda t: pa.nulls(len(found), t)
+        yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), none(pa.int32()), none(pa.int32())], names=["key", "a", "b", "n", "rest"])
+        m = size > FEW
+        yield pa.RecordBatch.from_arrays([pa.array(k[m]), pa.array(i[m]), pa.nulls(int(m.sum()), pa.int64()), pa.array(n[m]), pa.array(r[m])], names=["key", "a", "b", "n", "rest"])
+
+    def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        size = np.diff(np.append(edge, len(rows[0])))
+        several = np.repeat(size > 1, size)
+        size = size[size > 1]
+        if len(size):
+            start = np.repeat(np.cumsum(size) - size, size)
+            yield from emit(*(x[several] for x in rows), np.repeat(size, size), start)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        head: list[np.ndarray] | None = None  # the first row of a key whose rows are handed on as they come
+
+        def more(rows: list[np.ndarray], stop: int) -> Iterator[pa.RecordBatch]:
+            if stop:
+                part = [np.concatenate((h, x[:stop])) for h, x in zip(head, rows, strict=True)]
+                size = np.full(stop + 1, BLOCK)
+                for b in emit(*part, size, np.zeros(stop + 1, np.int64)):
+                    yield b
+
+        for batch in batches:
+            rows = [np.concatenate((x, batch.column(j).to_numpy())) for j, x in enumerate(rows)]
+            if head is not None:
+                stop = int(np.searchsorted(rows[0], head[0][0], side="right"))
+                yield from more(rows, stop)
+                rows = [x[stop:] for x in rows]
+            if len(rows[0]) < 100_000:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from settle([x[:last] for x in rows])
+                rows, head = [x[last:] for x in rows], None
+            if len(rows[0]) > BLOCK:
+                head = [x[:1] for x in rows]
+                yield from more([x[1:] for x in rows], len(rows[0]) - 1)
+                rows = [x[:0] for x in rows]
+        if len(rows[0]):
+            yield from settle(rows)
+        c.trim()
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: documents linked by near copies, the Jaccard similarity of whose word shingles is high enough.
 
-    Candidates are pairs of documents that link by one of several independent fingerprints of their words; each candidate is then compared
-    exactly. Documents with the same words in the same order are one class from the start. Documents without an id are classes of their own.
+    Candidates are all pairs that share one of their rarest shingles (a prefix filter, which misses no pair that is similar enough) and pass its
+    bounds by size and position; each is compared exactly. Of a shingle with many documents only the
+    first is compared with all. Documents with the same words in the same order are one class from the start. Documents
+    without an id are classes of their own.
     """
-    prints = c.cut(_described(docs, seeds).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
+    prints = c.cut(_described(docs).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
     twice = not prints.groupBy("doc_id").count().where("count > 1").isEmpty()
-    classes = c.cut(prints.groupBy("form").agg(F.min_by(F.struct("doc_id", "fps"), "doc_id").alias("x")).select("form", "x.doc_id", "x.fps"), "classes")
-    each = classes.select("doc_id", F.posexplode("fps").alias("which", "fp"))
-    heads = c.cut(each.groupBy("which", "fp").agg(F.min("doc_id").alias("head")), "heads")
-    links_ = fingerprint_links(heads.select("which", "fp"))
-    a, b = (heads.select("which", F.col("fp").alias(k), F.col("head").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    across = links_.join(a, ["which", "a"]).join(b, ["which", "b"]).select("x", "y")
-    same = each.join(heads, ["which", "fp"]).select(F.col("doc_id").alias("x"), F.col("head").alias("y"))
-    pairs = across.unionByName(same).where("x != y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
-    pairs = c.cut(pairs, "candidates")
+    classes = c.cut(prints.groupBy("form").agg(F.min("doc_id").alias("doc_id")), "classes")
+    ids = classes.select("doc_id").distinct()
+    rows = ids.count()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if rows <= SENT else ids, "doc_id", "left_semi")
+    dealt = _prefixes(own, shingle, similarity, _frequent(own, rows, shingle)).repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "id")
+    found = c.cut(dealt.mapInArrow(_cells(similarity), _CELL_SCHEMA), "cells")
+    c.release(docs.sparkSession)
+    pairs = c.cut(found.where("b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "candidates")
     similar = c.cut(_similar(docs, pairs, shingle, similarity, twice), "similar")  # one Python worker a task at a time
     parts = components(similar, "hi", "lo")
     named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("form", F.coalesce("component", "doc_id").alias("component_id"))
-    return prints.select("doc_id", "form").join(named, "form").select("doc_id", "component_id")
+    return prints.join(named, "form").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

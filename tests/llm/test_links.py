@@ -105,6 +105,24 @@ def test_near_copies(docs, corpus, no_docs, odd_docs):
     assert simhash.deduplicated(no_docs).count() == 0 and simhash.linked(no_docs).count() == 0
 
 
+def test_near_copies_with_passages_added_or_cut(spark):
+    """Pairs just above and below the threshold whose difference is one passage."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    for k in range(120):
+        own = words(n := int(rng.integers(40, 400)))
+        size = n - 4
+        more = int(size * 0.25) + (k % 3 == 2)  # size / (size + more) is 0.8 or just more; or just less
+        at = (0, n // 2, n)[k % 4 % 3]
+        other = own[:at] + words(more - 4 * (0 < at < n)) + own[at:]
+        a, b = (own, other) if k % 2 else (other, own)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    want = jaccard_components(rows)
+    assert 50 < sum(i != x for i, x in want.items()) < 110
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 120)] + [(1000 + i, 2000) for i in range(50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long").repartition(5)).collect()}
