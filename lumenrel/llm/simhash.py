@@ -376,12 +376,35 @@ def _cells(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _apart(crowded: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (hi, lo) among the rows of each large key that are not in one component yet; every pair of blocks of a key is a cell."""
+    rows = crowded.distinct().join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", "rest", F.coalesce("component", "id").alias("part"))
+    keys = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key", "blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("own"), o) * F.col("blocks") + F.greatest(F.col("own"), o))
+    cells = rows.join(keys, "key").withColumn("own", own).select("key", "id", "n", "rest", "part", "own", F.explode(others).alias("cell"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        i, n, r, part, block = (cell[x].to_numpy() for x in ("id", "n", "rest", "part", "own"))
+        inner = (block == block[0]).all()
+        found = [np.zeros((0, 2), np.int64)]
+        for x in range(len(i) - 1):
+            y = np.arange(x + 1, len(i))
+            y = y[(part[y] != part[x]) & (inner | (block[y] != block[x]))]
+            y = y[_may_fit(n, r, np.full(len(y), x), y, similarity)]
+            found.append(np.stack((np.maximum(i[x], i[y]), np.minimum(i[x], i[y])), axis=1))
+        out = np.concatenate(found)
+        return pa.table({"hi": np.ascontiguousarray(out[:, 0]), "lo": np.ascontiguousarray(out[:, 1])})
+
+    return cells.groupBy("key", "cell").applyInArrow(run, "hi long, lo long").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: documents linked by near copies, the Jaccard similarity of whose word shingles is high enough.
 
     Candidates are all pairs that share one of their rarest shingles (a prefix filter, which misses no pair that is similar enough) and pass its
-    bounds by size and position; each is compared exactly. Of a shingle with many documents only the
-    first is compared with all. Documents with the same words in the same order are one class from the start. Documents
+    bounds by size and position; each is compared exactly. Of a shingle with many documents the first is compared with all; then
+    all pairs that the links found so far do not join. Documents with the same words in the same order are one class from the start. Documents
     without an id are classes of their own.
     """
     prints = c.cut(_described(docs).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
@@ -396,6 +419,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     pairs = c.cut(found.where("b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "candidates")
     similar = c.cut(_similar(docs, pairs, shingle, similarity, twice), "similar")  # one Python worker a task at a time
     parts = components(similar, "hi", "lo")
+    crowded = found.where("b is null").select("key", F.col("a").alias("id"), "n", "rest")
+    if not crowded.isEmpty():
+        left = c.cut(_apart(crowded, parts, similarity).join(pairs, ["hi", "lo"], "left_anti"), "candidates")
+        if not left.isEmpty():
+            similar = similar.unionByName(c.cut(_similar(docs, left, shingle, similarity, twice), "similar"))
+            parts = components(similar, "hi", "lo")
     named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("form", F.coalesce("component", "doc_id").alias("component_id"))
     return prints.join(named, "form").select("doc_id", "component_id")
 

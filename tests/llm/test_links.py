@@ -123,6 +123,30 @@ def test_near_copies_with_passages_added_or_cut(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("frequent", [500_000, 0])
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_near_copies_beside_a_head_unlike_them(spark, monkeypatch, frequent, cell):
+    """Pairs that are similar to each other only, in groups whose least id is similar to neither."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 9000, n)]
+    rows = []
+    for k in range(3):  # the same words in another order, the words, and two of them swapped
+        own = words(200)
+        swapped = own[:50] + [own[51], own[50]] + own[52:]
+        rows += [" ".join(rng.permutation(own)), " ".join(own), " ".join(swapped)]
+    for k in range(3):  # one long passage in all, then long ends of their own or short ones
+        passage = words(100)
+        rows += [" ".join(passage + words(60)) for _ in range(9)] + [" ".join(passage + words(5)) for _ in range(2)]
+        rows += [" ".join(words(60) + passage) for _ in range(2)]
+    rows = list(enumerate(rows))
+    want = jaccard_components(rows)
+    assert sum(i != x for i, x in want.items()) == 6
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 120)] + [(1000 + i, 2000) for i in range(50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long").repartition(5)).collect()}
