@@ -259,9 +259,27 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float,
             yield b.filter(pa.array(keep, pa.bool_())).select(["hi", "lo"])
         c.trim()
 
+    def parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.asarray(x.values).view(np.uint64) for x in b.column("shingles")]
+            bits = [np.packbits(np.bincount((x & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in own], pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "size", "bits"])
+
+    def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in ("a", "b"))
+                both = b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()
+                keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + SLACK
+                yield b.filter(pa.array(keep)).select(["hi", "lo"])
+
     nodes = c.cut(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct(), "nodes")
     found = docs.select("doc_id", "text").join(_sent(nodes), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
     found = c.cut(found, "shingles").groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if twice else c.cut(found, "shingles")
+    # Sets that differ in at most d members have parities that differ in at most d bits, so most other pairs go before sets are sent.
+    marks = c.cut(found.mapInArrow(parities, "doc_id long, size int, bits binary"), "marks")
+    a, b = (marks.select(F.col("doc_id").alias(k), F.col("size").alias(n), F.col("bits").alias(v)) for k, n, v in (("hi", "n", "a"), ("lo", "m", "b")))
+    pairs = c.cut(_sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "n", "m", "a", "b").mapInArrow(bounded, "hi long, lo long"), "bounded")
     a, b = (found.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("hi", "a"), ("lo", "b")))
     return _sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
 
