@@ -115,9 +115,9 @@ def semi_elem(spark, d):
     return from_(c=scan(spark, d, "customer")).where_elem(lambda c: c.c_nationkey, keys).yield_({"c_custkey": lambda c: c.c_custkey}).frame()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def anti_notelem(spark, d):
-    keys = from_(o=scan(spark, d, "orders")).yield_(lambda o: o.o_custkey)
+    keys = from_(o=scan(spark, d, "orders")).where(lambda o: o.o_totalprice > 200000).yield_(lambda o: o.o_custkey)
     return from_(c=scan(spark, d, "customer")).where_notelem(lambda c: c.c_custkey, keys).yield_({"c_custkey": lambda c: c.c_custkey}).frame()
 
 
@@ -207,9 +207,10 @@ def except_all(spark, d):
     return _keys(spark, d, "customer", "c_nationkey").except_(_keys(spark, d, "supplier", "s_nationkey")).frame()
 
 
-@query("SELECT c_custkey::BIGINT AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
 def except_distinct(spark, d):
-    return _keys(spark, d, "customer", "c_custkey").except_(_keys(spark, d, "orders", "o_custkey"), distinct=True).frame()
+    large = from_(x=scan(spark, d, "lineitem")).where(lambda x: x.l_quantity > 40).yield_({"k": lambda x: x.l_partkey.cast("long")})
+    return _keys(spark, d, "orders", "o_custkey").except_(large, distinct=True).frame()
 
 
 @query("""SELECT k, o FROM (SELECT k, o, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM (SELECT c_nationkey::BIGINT AS k, c_custkey AS o FROM customer)) a
@@ -246,6 +247,24 @@ def ordinal(spark, d):
     return q.with_ordinal().remove("o_totalprice").frame()
 
 
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders) WHERE i % 3 = 1")
+def where_ordinal(spark, d):
+    q = bag(parquet(spark, d, "orders").select("o_orderkey", "o_totalprice")).order(lambda o_totalprice: o_totalprice, lambda o_orderkey: o_orderkey)
+    return q.where(lambda ordinal: ordinal % 3 == 1).remove("o_totalprice").frame()
+
+
+@query("SELECT n, r FROM (SELECT n_nationkey AS n, r_regionkey AS r, row_number() OVER (ORDER BY n_nationkey, r_regionkey) - 1 AS i FROM nation, region) WHERE (i * i) % 7 = 2")
+def join_on_ordinal(spark, d):
+    q = from_(n=list_of(spark, d, "nation", "n_nationkey")).join(r=list_of(spark, d, "region", "r_regionkey"), on=lambda ordinal: ordinal * ordinal % 7 == 2)
+    return q.yield_({"n": lambda n: n.n_nationkey, "r": lambda r: r.r_regionkey}).frame()
+
+
+@query("SELECT n, r FROM nation_keys LEFT JOIN (SELECT n AS m, r FROM (SELECT n_nationkey AS n, r_regionkey AS r, row_number() OVER (ORDER BY n_nationkey, r_regionkey) - 1 AS i FROM nation, region) WHERE i % 9 = 4) ON n = m".replace("nation_keys", "(SELECT n_nationkey AS n FROM nation)"))
+def left_join_on_ordinal(spark, d):
+    q = from_(n=list_of(spark, d, "nation", "n_nationkey")).join("left", r=list_of(spark, d, "region", "r_regionkey"), on=lambda ordinal: ordinal % 9 == 4)
+    return q.yield_({"n": lambda n: n.n_nationkey, "r": lambda r: r.r_regionkey}).frame()
+
+
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
 def per_group_take(spark, d):
     q = bag(parquet(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"))

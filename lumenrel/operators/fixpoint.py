@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenrel.plans import errors
 from lumenrel.plans.query import Query
 from lumenrel.plans.storage import materialised
 
@@ -36,4 +37,6 @@ def iterate(seed: Query, step: Callable[[Query, Query], Query], rounds: int = 1_
         if new.isEmpty():
             break
         every = every.unionByName(new)
+    else:
+        raise errors.Error(f"no fix-point after {rounds} rounds")
     return replace(seed, df=every)

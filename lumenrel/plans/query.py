@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from lumenrel.plans import errors
 from lumenrel.plans.aggregates import Aggregate
+from lumenrel.plans.storage import materialised
 
 Expr = Callable[..., Any]
 HIDDEN = "__o"
@@ -183,15 +184,19 @@ class Query:
         return replace(self, df=df, order_by=((name, True),))
 
     def with_ordinal(self, name: str = "ordinal") -> Query:
-        """A binding for the 0-based position of each row of a list, without bringing rows into one partition."""
+        """A binding for the 0-based position of each row of a list, without bringing rows into one partition.
+
+        The list is sorted and numbered by partition once, and written: a second run of the sort could cut its partitions elsewhere.
+        """
         if not self.ordered:
             raise errors.Error("ordinal needs a list")
         q = self.numbered()
         at = q.order_by[0][0]
+        sorted_once = materialised(q.df, "ordinal")
         part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-        counts = q.df.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+        counts = sorted_once.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
         before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-        df = q.df.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + place).cast("int")).drop("__p", "__before")
+        df = sorted_once.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + place).cast("int")).drop("__p", "__before")
         return Query(df, (*self.names, name), False, q.order_by)
 
     def take_per(self, n: int, *keys: Expr, order: Sequence[Expr | Desc] = ()) -> Query:
@@ -208,6 +213,8 @@ class Query:
         how: inner, left, right or full. The absent side of an outer join is null.
         """
         ((name, of),) = source.items()
+        if on is not None and "ordinal" in inspect.signature(on).parameters:
+            return self._join_by_ordinal(name, of, how, on)
         if not isinstance(of, Query):
             return self._lateral(name, of, how, on)
         right = of.bind(name)
@@ -238,6 +245,19 @@ class Query:
             order = ((last, True), *order) if self._hidden() else order
         return Query(df, names, False, order)
 
+    def _join_by_ordinal(self, name: str, of: Query | Expr, how: str, on: Expr) -> Query:
+        """A join whose condition reads the number of the candidate pair, counted over the whole join."""
+        if how not in ("inner", "left"):
+            raise errors.Error(f"ordinal can't be read in the condition of a {how} join")
+        if how == "inner":
+            return self.join("inner", **{name: of}).where(on)
+        mine = self.numbered()
+        at = mine.order_by[0][0]
+        pairs = mine.let("__left", lambda **_: F.col(at)).join("inner", **{name: of}).where(on)
+        met = pairs.df.select("__left", f"`{name}`", *pairs._hidden())
+        df = mine.df.join(met, F.col(at) == F.col("__left"), "left").drop("__left")
+        return Query(df, (*self.names, name), False, ((at, True), *pairs.order_by))
+
     def _lateral(self, name: str, f: Expr, how: str, on: Expr | None) -> Query:
         if how not in ("inner", "left"):
             raise errors.Error(f"{how} join needs an independent source")
