@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrel import library_queries
 from lumenrel.functions import library
 from lumenrel.operators import datalog
 from lumenrel.operators.fixpoint import iterate
@@ -454,8 +455,8 @@ def datatype_case(spark, d):
 
 
 def queries() -> dict[str, Made]:
-    return dict(_queries)
+    return _queries | library_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | library_queries.SQL

@@ -78,11 +78,11 @@ def complement(c: Column) -> Column:
     return F.when(n > 0, gaps).otherwise(F.array(values.range_of("ALL", none.cast("int"), False, none.cast("int"), False)))
 
 
-def _scanner(pattern: str, read: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """From a text to an option of (value, rest): the longest prefix, after white space, that reads as a value."""
+def _scanner(pattern: str, read: Callable[[Column], Column], skip: str = r"\s*") -> Callable[[Column], Column]:
+    """From a text to an option of (value, rest): the longest prefix, after what is skipped (white space), that reads as a value."""
     def run(s: Column) -> Column:
-        found = F.regexp_extract(s, rf"^(\s*(?:{pattern}))", 1)
-        value = read(F.ltrim(found))
+        found = F.regexp_extract(s, rf"^({skip}(?:{pattern}))", 1)
+        value = read(F.ltrim(found) if skip else found)
         return F.when((found != "") & value.isNotNull(), F.struct(value.alias("_1"), F.substring(s, F.length(found) + 1, F.length(s)).alias("_2")))
     return run
 
@@ -128,8 +128,8 @@ STRUCTURES = {
     "Word": {"scan": _scanner(r"(?:0w)?x?[0-9A-Fa-f]+", S["Word"]["fromString"])},
     "Real": {"scan": _scanner(r"[~+-]?[0-9]*\.?[0-9]+(?:[eE][~+-]?[0-9]+)?", S["Real"]["fromString"]), "fmt": real_format},
     "Bool": {"scan": _scanner(r"(?i:true|false)", S["Bool"]["fromString"])},
-    "Char": {"scan": _scanner(r"\\.|[^\\]", text.STRUCTURES["Char"]["fromString"])},
-    "String": {"scan": _scanner(r"(?:\\.|[^\\])+", text.STRUCTURES["String"]["fromString"])},
+    "Char": {"scan": _scanner(r"\\.|[^\\]", text.STRUCTURES["Char"]["fromString"], skip="")},
+    "String": {"scan": _scanner(r"(?:\\.|[^\\])+", text.STRUCTURES["String"]["fromString"], skip="")},
     "Time": {"scan": _scanner(r"[~+-]?[0-9]*\.?[0-9]+", values.STRUCTURES["Time"]["fromString"])},
     "Date": {"scan": _scanner(r"[A-Z][a-z]{2} [A-Z][a-z]{2} \d\d \d\d:\d\d:\d\d \d{4}", values.STRUCTURES["Date"]["fromString"])},
     "Decimal": {"maxFinite": lambda: F.lit("9" * 28 + "." + "9" * 10).cast("decimal(38,10)"), "minPos": lambda: F.lit("0.0000000001").cast("decimal(38,10)")},

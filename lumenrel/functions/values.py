@@ -79,6 +79,12 @@ def date_format(pattern: str, d: Column) -> Column:
     return F.concat(*parts, F.lit(plain))
 
 
+def parsed_date(s: Column) -> Column:
+    """The date of a text as toString writes it; the day of the week is not looked at (Spark's parser knows none)."""
+    ts = F.try_to_timestamp(F.substring(F.ltrim(s), 5, 64), F.lit("MMM dd HH:mm:ss yyyy"))
+    return F.when(ts.isNotNull(), date(ts))
+
+
 NANOS = {"Nanoseconds": 1, "Microseconds": 10**3, "Milliseconds": 10**6, "Seconds": 10**9}
 
 
@@ -115,7 +121,7 @@ STRUCTURES = {
     "Date": {
         "compare": lambda a, b: order_of(a["ts"], b["ts"]), "date": lambda year, month, day, hour, minute, second: date(F.make_timestamp(year, month, day, hour, minute, second)), "day": lambda d: F.dayofmonth(d["ts"]), "hour": lambda d: F.hour(d["ts"]), "minute": lambda d: F.minute(d["ts"]), "second": lambda d: F.second(d["ts"]),
         "year": lambda d: F.year(d["ts"]), "yearDay": lambda d: F.dayofyear(d["ts"]) - 1, "month": lambda d: _named(_MONTHS, F.month(d["ts"])), "weekDay": lambda d: _named(_DAYS, F.weekday(d["ts"]) + 1), "isDst": lambda d: F.lit(None).cast("boolean"), "fmt": date_format,
-        "fromString": lambda s: F.when(F.try_to_timestamp(s, F.lit("EEE MMM dd HH:mm:ss yyyy")).isNotNull(), date(F.try_to_timestamp(s, F.lit("EEE MMM dd HH:mm:ss yyyy")))), "toString": lambda d: F.date_format(d["ts"], "EEE MMM dd HH:mm:ss yyyy"),
+        "fromString": parsed_date, "toString": lambda d: F.date_format(d["ts"], "EEE MMM dd HH:mm:ss yyyy"),
         "fromTimeUniv": lambda t: date(F.timestamp_micros(_floor_to(1000)(t))), "fromTimeLocal": lambda t: date(F.timestamp_micros(_floor_to(1000)(t))), "toTime": lambda d: (F.unix_micros(d["ts"]) + d["offset"] * 1_000_000) * 1000, "localOffset": lambda: F.lit(0).cast("long"),
     }
     | {m: (lambda m=m: F.lit(m)) for m in (*_MONTHS, *_DAYS)},
