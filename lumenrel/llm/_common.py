@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import struct
-import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrel.plans.storage import shared_dir
+
 #: Bytes of text that an operator holds as numpy arrays at a time; one longer text is held alone.
 CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to Python.
@@ -31,14 +32,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors reach: spark.checkpoint.dir, or where it is unset
-    (tests, one machine) a temporary folder that is then recorded in that setting."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lumenrel.shared", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lumenrel-")
-        spark.conf.set("spark.lumenrel.shared", where)
-    return where.rstrip("/")
+#: Paths of the tables of this process that cut() wrote and nothing has deleted.
+_written: set[str] = set()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +41,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenrel/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that cut() wrote so far; for a caller who has written the results that were made of them."""
+    for name in list(_written):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.discard(name)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote and nothing needs any more, and let go of finished shuffles."""
     spark = df.sparkSession

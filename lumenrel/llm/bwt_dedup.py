@@ -1,19 +1,19 @@
 """Removal of text repeated across documents, by merging Burrows-Wheeler transforms of shards.
 
 A byte is removed if a string of SPAN bytes covers it that also starts in a document with a smaller id. Documents are packed into
-chunks. Each string of SPAN bytes picks an anchor by its own bytes (see _anchors), and the strings that pick one anchor form
-a region. Regions go to a partition by their anchor's hash, as hashes:
+chunks; a longer text is cut into chunks that overlap by SPAN - 1 bytes, so that each string starts in one of them. Each string of SPAN
+bytes picks an anchor by its own bytes (see _anchors), and the strings that pick one anchor form a region. Hashes only tell which regions
+are looked at: inside a chunk one of equal regions (of the least document) stands for all, and partitions by anchor find the regions whose
+anchor occurs elsewhere too. Whether their bytes repeat is then read off the merged transforms:
 
-- Of equal regions, those of the smallest document stay and all others are covered whole.
-- Where an anchor has several different regions, the first of each is looked at byte by byte. Every chunk sorts the
-  rotations of its contested regions once and sends each partition its shard as a Burrows-Wheeler transform. The
-  partition merges the shards by refining their interleave: one pass prepends a byte (a stable distribution of the rows by
-  their transform byte, each row then moving to its last-to-first place) and splits the blocks of rows with equal prefixes;
-  rows alone in a block drop out. After SPAN passes the blocks left are the repeated intervals, rows with a common prefix of SPAN.
-  The smallest document of an interval keeps it.
+- Every chunk sorts the rotations of its regions once and sends each partition its shard as a Burrows-Wheeler transform.
+- The partition merges the shards by refining their interleave. It starts from the shards one after another, each in its own order.
+  One pass prepends a byte: rows are distributed by their transform byte, stably, each then moving to its last-to-first place, so rows of one
+  shard keep their order and only the interleave changes; blocks of rows with a common prefix are split where the byte or the block before
+  differs, and rows alone in a block drop out. After SPAN passes the blocks left are the repeated intervals, whose rows have SPAN bytes in
+  common. The smallest document of an interval keeps it.
 
-An anchor with more than HOT different regions is spread: its strings go to partitions by their own hashes, as shards of
-single strings. Hashes of 48 bits within an anchor of 48 bits tell regions apart.
+An anchor with more than `hot` regions is spread: its strings go to partitions by their own hashes, as shards of single strings.
 
 Defined cases: a null text counts as empty; a null id is neither smaller nor larger than any other, so its text stays and
 is no source; rows of one id aren't sources for each other; texts shorter than SPAN stay; an empty table gives an empty
@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,10 +38,13 @@ from lumenrel.llm import _common as c
 from lumenrel.llm._anchors import SPAN, Hashes, anchors, forget
 
 HOT = 20_000
-#: Text of a chunk; its arrays take some 60 times as much.
+#: Text of a chunk; its arrays take some 60 times as much. A text of more than LONG bytes is cut.
 CHUNK_BYTES = 3 << 18
+LONG = 2 * CHUNK_BYTES
 STOP = 0xFF  # ends a region; no valid text holds it
-TEXT, WHOLE, CONTESTED, SAME, STRINGS, MASK = range(6)
+TEXT, CONTESTED, LIKE, STRINGS, MASK = range(5)
+#: A chunk's number: 2^12 pieces of one long text follow each other.
+PIECES = 12
 MESSAGE = "part int, chunk long, kind int, block binary"
 _ANCHOR, _REGION = np.uint64(0x9E3779B97F4A7C15), np.uint64(16)
 
@@ -66,14 +70,47 @@ def _thaw(block: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block))))
 
 
-def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(row: pa.RecordBatch, long: int) -> Iterator[pa.RecordBatch]:
+    """One long text as rows of bytes that overlap by SPAN - 1."""
+    text = c.as_bytes(row.column("text"))[0].as_py()
+    rest = {n: row.column(n) for n in row.schema.names if n != "text"}
+    step = max(long // 2, len(text) >> (PIECES - 1), SPAN)
+    for at in range(0, max(1, len(text) - SPAN + 1), step):
+        stop = len(text) if at + step > len(text) - SPAN else at + step + SPAN - 1
+        yield pa.RecordBatch.from_pydict(rest | {"text": pa.array([text[at:stop]], pa.binary())})
+
+
+def _store(long: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents as chunks."""
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 32
-    for t in c.gathered(batches, limit=CHUNK_BYTES):
-        for b in t.to_batches():
-            yield _message(0, number, TEXT, _freeze(b))
-            number += 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 28
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for b in pa.Table.from_batches(held).combine_chunks().to_batches() if held else ():
+                yield _message(0, number << PIECES, TEXT, _freeze(b))
+                number += 1
+            held.clear()
+
+        for b in c.chunks(batches, limit=CHUNK_BYTES // 4):
+            n = pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+            if b.num_rows == 1 and n > long:
+                for k, piece in enumerate(_pieces(b, long)):
+                    yield _message(0, (number << PIECES) + k, TEXT, _freeze(piece))
+                number += 1
+                continue
+            held.append(b)
+            size += n
+            if size >= CHUNK_BYTES:
+                yield from packed()
+                size = 0
+        yield from packed()
+
+    return run
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -102,20 +139,29 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                 region = c.mix64(hashes.of(first, last + SPAN) + (at - first).astype(np.uint64) * _ANCHOR) >> _REGION
                 del hashes, data
                 anchor = gram >> _REGION
+                # One of equal regions stands for all: the first of the least document. Larger documents repeat it, its own other places are like it.
+                own = ids[doc]
+                order = np.lexsort((first, own, region, anchor))
+                fresh = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (region[order][1:] != region[order][:-1]))) if len(order) else np.zeros(0, bool)
+                head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+                like, of = order[~fresh], head[~fresh]
+                if len(like):
+                    yield _message(int(chunk % parts), chunk, LIKE, c.pack(c.narrow(first[like]), c.narrow(first[of]), (last - first)[like].astype(np.uint8), (own[like] > own[of]).astype(np.uint8)))
+                lead = order[fresh]
+                anchor, region, first, last, doc = (x[lead] for x in (anchor, region, first, last, doc))
                 part = _part(anchor, parts)
                 order = np.argsort((part.astype(np.uint64) << np.uint64(48)) | anchor)
-                part, anchor, region, first, width, own = part[order], anchor[order], region[order], first[order], (last - first)[order], ids[doc[order]]
+                part, anchor, first, width, own = part[order], anchor[order], first[order], (last - first)[order], ids[doc[order]]
                 edge = np.searchsorted(part, np.arange(parts + 1))
                 low = np.uint64(0xFFFFFFFF)
                 a_hi, a_lo = (anchor >> np.uint64(32)).astype(np.uint16), (anchor & low).astype(np.uint32)
-                r_hi, r_lo = (region >> np.uint64(32)).astype(np.uint16), (region & low).astype(np.uint32)
                 base = int(own.min()) if len(own) else 0
                 own, first, width = c.narrow(own - base), c.narrow(first), width.astype(np.uint8)
                 rows = []
                 for p in range(parts):
                     s = slice(edge[p], edge[p + 1])
                     if s.start < s.stop:
-                        rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], r_hi[s], r_lo[s], first[s], width[s], own[s], np.array([base]))))
+                        rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], first[s], width[s], own[s], np.array([base]))))
                 yield from _messages(rows)
         forget()
         c.trim()
@@ -133,55 +179,51 @@ def _grouped(batches: Iterable[pa.RecordBatch], by: str) -> dict[int, list[tuple
     return held
 
 
-def _sort_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tells the chunks which regions are covered whole, contested, or like a contested one of their document."""
-    for part, rows in _grouped(batches, "part").items():
-        chunks = np.array([x[0] for x in rows])
-        blocks = [c.unpack(x[2]) for x in rows]
-        rows.clear()
-        anchor = np.concatenate([(b[0].astype(np.uint64) << np.uint64(32)) | b[1] for b in blocks])
-        ordered = np.sort(anchor)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        del ordered
-        if not len(twice):
-            continue
-        use = np.searchsorted(twice, anchor)
-        use = twice[np.minimum(use, len(twice) - 1)] == anchor
-        anchor = anchor[use]
-        region = np.concatenate([(b[2].astype(np.uint64) << np.uint64(32)) | b[3] for b in blocks])[use]
-        first = np.concatenate([b[4].astype(np.int64) for b in blocks])[use]
-        width = np.concatenate([b[5] for b in blocks])[use]
-        own = np.concatenate([b[6].astype(np.int64) + b[7][0] for b in blocks])[use]
-        chunk = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])[use]
-        del blocks
-        order = np.lexsort((first, chunk, own, region, anchor))
-        anchor, region, first, width, own, chunk = (x[order] for x in (anchor, region, first, width, own, chunk))
-        new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new_region = new_anchor | np.concatenate(([True], region[1:] != region[:-1]))
-        group, at = np.cumsum(new_region) - 1, np.cumsum(new_anchor) - 1
-        regions = np.bincount(at[new_region])
-        least = own[new_region][group]
-        covered = own > least
-        contested = ~covered & (regions[at] > 1)
-        head = contested & (new_region | np.concatenate(([True], chunk[1:] != chunk[:-1])))
-        head_at = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        like = contested & ~head
-        hot = regions[at] > HOT
-        out = []
-        for k, values, arrays in (
-            (WHOLE, covered, (first, width)),
-            (CONTESTED, head & ~hot, (first, width)),
-            (STRINGS, head & hot, (first, width)),
-            (SAME, like, (first, first[head_at])),
-        ):
-            i = np.flatnonzero(values)
-            i = i[np.argsort(chunk[i], kind="stable")]
-            edge = np.searchsorted(chunk[i], np.arange(len(chunks) + 1))
-            for n in np.flatnonzero(np.diff(edge)):
-                s = i[edge[n] : edge[n + 1]]
-                out.append((part, int(chunks[n]), k, c.pack(*(c.narrow(x[s]) for x in arrays))))
-        yield from _messages(out)
-    c.trim()
+def _sort_out(hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tells the chunks which of their regions have an anchor that occurs in another document too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches, "part").items():
+            yield from _messages([(part, chunk, kind, block) for chunk, kind, block in rows if kind == LIKE])
+            asked = [x for x in rows if x[1] == TEXT]
+            rows.clear()
+            if not asked:
+                continue
+            chunks = np.array([x[0] for x in asked])
+            blocks = [c.unpack(x[2]) for x in asked]
+            asked.clear()
+            anchor = np.concatenate([(b[0].astype(np.uint64) << np.uint64(32)) | b[1] for b in blocks])
+            ordered = np.sort(anchor)
+            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+            del ordered
+            if not len(twice):
+                continue
+            use = np.searchsorted(twice, anchor)
+            use = twice[np.minimum(use, len(twice) - 1)] == anchor
+            anchor = anchor[use]
+            first = np.concatenate([b[2].astype(np.int64) for b in blocks])[use]
+            width = np.concatenate([b[3] for b in blocks])[use]
+            own = np.concatenate([b[4].astype(np.int64) + b[5][0] for b in blocks])[use]
+            chunk = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])[use]
+            del blocks
+            order = np.lexsort((first, chunk, anchor))
+            anchor, first, width, own, chunk = (x[order] for x in (anchor, first, width, own, chunk))
+            edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            size = np.diff(np.append(edge, len(anchor)))
+            several = np.repeat(np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge), size)
+            crowded = np.repeat(size > hot, size)
+            out = []
+            for k, values in ((CONTESTED, several & ~crowded), (STRINGS, several & crowded)):
+                i = np.flatnonzero(values)
+                i = i[np.argsort(chunk[i], kind="stable")]
+                at = np.searchsorted(chunk[i], np.arange(len(chunks) + 1))
+                for n in np.flatnonzero(np.diff(at)):
+                    s = i[at[n] : at[n + 1]]
+                    out.append((part, int(chunks[n]), k, c.pack(c.narrow(first[s]), c.narrow(width[s]))))
+            yield from _messages(out)
+        c.trim()
+
+    return run
 
 
 def rotation_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -229,7 +271,7 @@ def _shards(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _grouped(batches, "chunk").items():
-            asked = [(p, k, c.unpack(b)) for p, k, b in rows if k != TEXT]
+            asked = [(p, k, c.unpack(b)) for p, k, b in rows if k in (CONTESTED, STRINGS)]
             if not asked:
                 continue
             docs = _thaw(next(b for _, k, b in rows if k == TEXT))
@@ -286,7 +328,7 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 
     A shard is its transform, the row of each string's stop and the strings' sizes. Returned are, for each string of SPAN bytes
     that occurs twice or more, its interval's number, the number of the string it stands in (over all shards) and its start there;
-    intervals ascend.
+    intervals ascend, and inside an interval rows stand by shard and in their shard's order.
     """
     base = np.concatenate(([0], np.cumsum([len(x[0]) for x in shards])))
     transform = np.concatenate([x[0] for x in shards])
@@ -307,6 +349,8 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
         z = np.zeros(0, np.int64)
         return z, z, z
     row, string, place = np.concatenate(rows), np.concatenate(strings), np.concatenate(places)
+    own = np.argsort(row)  # the first interleave: shard after shard, each as it was sorted
+    row, string, place = row[own], string[own], place[own]
     block = np.zeros(len(row), np.int32)
     for _ in range(SPAN):
         byte = transform[row]
@@ -354,19 +398,19 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c.trim()
 
 
-def _covered(n: int, rows: list[tuple[int, int, bytes]]) -> np.ndarray:
+def _covered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
     """Which of n bytes of a chunk are covered."""
     edge = np.zeros(n + 1, np.int32)
     masks, likes = [], []
-    for _, kind, block in rows:
-        if kind == WHOLE:
-            first, width = c.unpack(block)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, first.astype(np.int64) + width + SPAN, -1)
-        elif kind == MASK:
+    for kind, block in rows:
+        if kind == MASK:
             masks.append(c.unpack(block))
-        elif kind == SAME:
+        elif kind == LIKE:
             likes.append(c.unpack(block))
+    for first, _, width, larger in likes:
+        at = first[larger == 1].astype(np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + width[larger == 1] + SPAN, -1)
     if masks:
         first, mask = (np.concatenate([x[k].astype(np.int64) for x in masks]) for k in (0, 1))
         order = np.argsort(first, kind="stable")
@@ -374,7 +418,7 @@ def _covered(n: int, rows: list[tuple[int, int, bytes]]) -> np.ndarray:
         new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         first, mask = first[new], np.bitwise_or.reduceat(mask, new)
         if likes:
-            at, head = (np.concatenate([x[k].astype(np.int64) for x in likes]) for k in (0, 1))
+            at, head = (np.concatenate([x[k][x[3] == 0].astype(np.int64) for x in likes]) for k in (0, 1))
             k = np.minimum(np.searchsorted(first, head), len(first) - 1)
             ok = first[k] == head
             first, mask = np.concatenate((first, at[ok])), np.concatenate((mask, mask[k[ok]]))
@@ -388,13 +432,44 @@ def _covered(n: int, rows: list[tuple[int, int, bytes]]) -> np.ndarray:
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(replace: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(chunk, kind, block) of the chunks of one text or of one chunk of texts; rows come in order of their chunks."""
+    held: list[tuple[int, int, bytes]] = []
+    for b in batches:
+        for row in zip(*(b.column(n).to_pylist() for n in ("chunk", "kind", "block")), strict=True):
+            if held and held[-1][0] >> PIECES != row[0] >> PIECES:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _judged(rows: list[tuple[int, int, bytes]]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents of a family, their bytes and offsets, and which bytes are gone."""
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for chunk, kind, block in rows:
+        by.setdefault(chunk, []).append((kind, block))
+    docs, datas, gones = None, [], []
+    for _, own in sorted(by.items()):
+        docs = _thaw(next(b for k, b in own if k == TEXT))
+        data, offsets = c.flat(c.as_bytes(docs.column("text")))
+        datas.append(data)
+        gones.append(_covered(len(data), own))
+    if len(datas) == 1:
+        return docs, datas[0], offsets, gones[0]
+    starts = np.cumsum([0, *(len(x) - SPAN + 1 for x in datas)])
+    data = np.concatenate([*(x[: 1 - SPAN] for x in datas[:-1]), datas[-1]])
+    gone = np.zeros(len(data), bool)
+    for s, x in zip(starts, gones, strict=False):
+        gone[s : s + len(x)] |= x
+    return docs, data, np.array([0, len(data)]), gone
+
+
+def _finish(replace: bool, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "chunk").items():
-            docs = _thaw(next(b for _, k, b in rows if k == TEXT))
-            data, offsets = c.flat(c.as_bytes(docs.column("text")))
-            gone = _covered(len(data), rows)
-            rows.clear()
+        for rows in _families(batches):
+            docs, data, offsets, gone = _judged(rows)
             stats, texts = [], []
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
@@ -414,41 +489,41 @@ def _finish(replace: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
             else:
                 del columns["text"]
             columns |= dict(zip((x.split()[0] for x in ADDED.split(", ")), map(pa.array, zip(*stats, strict=True)), strict=True))
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
         c.trim()
 
     return run
 
 
-def _run(docs: DataFrame, replace: bool) -> DataFrame:
+def _run(docs: DataFrame, replace: bool, hot: int, long: int) -> DataFrame:
     """The columns of docs (with or without text) and those of ADDED."""
     spark = docs.sparkSession
     parts = c.partitions(spark)
     added = T._parse_datatype_string(ADDED).fields
     names = {f.name for f in added}
     docs = c.bounded(docs).drop(*names)
-    chunks = c.cut(docs.mapInArrow(_store, MESSAGE), "chunks")
+    chunks = c.cut(docs.mapInArrow(_store(long), MESSAGE), "chunks")
 
     def to_chunks(answers: DataFrame) -> DataFrame:
-        deal = F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")
+        deal = F.pmod(F.xxhash64(F.shiftright("chunk", PIECES)), F.lit(parts)).cast("int")
         return c.routed(chunks.unionByName(answers).withColumn("deal", deal), parts, "deal").drop("deal")
 
     asked = c.routed(chunks.mapInArrow(_ask(parts), MESSAGE), parts, "part")
-    verdicts = c.cut(asked.mapInArrow(_sort_out, MESSAGE), "verdicts")
+    verdicts = c.cut(asked.mapInArrow(_sort_out(hot), MESSAGE), "verdicts")
     c.release(spark)
     shards = to_chunks(verdicts.where(F.col("kind").isin(CONTESTED, STRINGS))).mapInArrow(_shards(parts), MESSAGE)
     masks = c.cut(c.routed(shards, parts, "part").mapInArrow(_merge, MESSAGE), "masks")
     c.release(spark)
-    answers = verdicts.where(F.col("kind").isin(WHOLE, SAME)).unionByName(masks)
-    fields = [f for f in docs.schema.fields if replace or f.name != "text"]
-    return to_chunks(answers).mapInArrow(_finish(replace), T.StructType([*fields, *added]))
+    answers = verdicts.where(F.col("kind") == LIKE).unionByName(masks)
+    fields = [*(f for f in docs.schema.fields if replace or f.name != "text"), *added]
+    return to_chunks(answers).sortWithinPartitions("chunk").mapInArrow(_finish(replace, [f.name for f in fields]), T.StructType(fields))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, hot: int = HOT, long: int = LONG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes left) of each row."""
-    return _run(docs.select("doc_id", "text"), replace=False)
+    return _run(docs.select("doc_id", "text"), False, hot, long)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, hot: int = HOT, long: int = LONG) -> DataFrame:
     """docs with what repeats smaller documents cut out of text, and the columns of `spans`."""
-    return _run(docs, replace=True)
+    return _run(docs, True, hot, long)

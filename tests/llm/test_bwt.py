@@ -29,14 +29,14 @@ def brute(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_spans_match_direct_computation(odd_docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "long"), [(20_000, bwt_dedup.LONG), (1, bwt_dedup.LONG), (20_000, 300), (1, 120)])
+def test_spans_match_direct_computation(odd_docs, hot, long):
+    """Also with all anchors spread by string, and with texts cut into pieces."""
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
     want = brute(rows)
-    got = bwt_dedup.deduplicated(odd_docs.drop("n_bytes"))
+    got = bwt_dedup.deduplicated(odd_docs.drop("n_bytes"), hot, long)
     assert {"part", "chunk", "block", "kind"} <= set(got.columns)
-    plain = bwt_dedup.spans(odd_docs).collect()
+    plain = bwt_dedup.spans(odd_docs, hot, long).collect()
     assert len(plain) == len(rows)
     by_id = {}
     for i, t in rows:
@@ -45,9 +45,12 @@ def test_spans_match_direct_computation(odd_docs, monkeypatch, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in by_id[r.doc_id]
 
 
-def test_hot_pieces_by_value():
-    """The hot path is the same function of the messages; its constant is read where regions are sorted out."""
-    assert bwt_dedup.HOT == 20_000
+def test_the_merge_decides(docs, monkeypatch):
+    """Without what the merged transforms find, nothing that repeats across chunks goes."""
+    with_merge = {r.doc_id: r.n_removed for r in bwt_dedup.spans(docs).collect()}
+    monkeypatch.setattr(bwt_dedup, "_merge", lambda batches: iter(()))
+    without = {r.doc_id: r.n_removed for r in bwt_dedup.spans(docs).collect()}
+    assert sum(without.values()) < sum(with_merge.values()) / 2
 
 
 def test_empty(no_docs):
