@@ -1,6 +1,7 @@
 """Steps that number or count rows over many partitions, and the whole library over columns, each against SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,6 @@ def test_against_sql(spark, name):
     want = con.execute(catalog.oracle_sql()[name]).df()
     got = catalog.queries()[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    text = lambda df: sorted(map(repr, df[sorted(df.columns)].map(lambda v: "nan" if v is None or v != v else list(v) if hasattr(v, "__len__") and not isinstance(v, str) else float(v) if isinstance(v, (int, float)) else v).values.tolist()))
+    text = lambda df: sorted(map(repr, df[sorted(df.columns)].map(lambda v: "nan" if not hasattr(v, "__len__") and pd.isna(v) else float(v) if isinstance(v, (int, float)) else v).values.tolist()))
     if not any(hasattr(v, "__len__") and not isinstance(v, str) for df in (got, want) for v in df.iloc[0]):
         assert text(got) == text(want)
