@@ -77,15 +77,15 @@ def routed(df: DataFrame, n: int, key: str) -> DataFrame:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
-    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    at, out = 1, []
-    heads = [struct.unpack_from("<2sq", raw, 1 + 10 * k) for k in range(raw[0])]
-    at += 10 * raw[0]
+    n, out = struct.unpack_from("<I", raw)[0], []
+    heads = [struct.unpack_from("<2sq", raw, 4 + 10 * k) for k in range(n)]
+    at = 4 + 10 * n
     for kind, n in heads:
         dtype = np.dtype("<" + kind.decode())
         out.append(np.frombuffer(raw, dtype, n, at))
