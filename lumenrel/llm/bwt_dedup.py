@@ -3,8 +3,8 @@
 A byte is removed if a string of SPAN bytes covers it that also starts in a document with a smaller id. Documents are packed into
 chunks; a longer text is cut into chunks that overlap by SPAN - 1 bytes, so that each string starts in one of them. Each string of SPAN
 bytes picks an anchor by its own bytes (see _anchors), and the strings that pick one anchor form a region. Hashes only tell which regions
-are looked at: inside a chunk one of equal regions (of the least document) stands for all, and partitions by anchor find the regions whose
-anchor occurs elsewhere too. Whether their bytes repeat is then read off the merged transforms:
+are looked at: those whose anchor occurs in several documents, and of equal regions two, that of the least document and the next other
+document's first. Whether their bytes repeat is read off the merged transforms, and what is found of those two holds for the regions they stand for:
 
 - Every chunk sorts the rotations of its regions once and sends each partition its shard as a Burrows-Wheeler transform.
 - The partition merges the shards by refining their interleave. It starts from the shards one after another, each in its own order.
@@ -13,7 +13,7 @@ anchor occurs elsewhere too. Whether their bytes repeat is then read off the mer
   differs, and rows alone in a block drop out. After SPAN passes the blocks left are the repeated intervals, whose rows have SPAN bytes in
   common. The smallest document of an interval keeps it.
 
-An anchor with more than `hot` regions is spread: its strings go to partitions by their own hashes, as shards of single strings.
+An anchor with more than `hot` different regions is spread: its strings go to partitions by their own hashes, as shards of single strings.
 
 Defined cases: a null text counts as empty; a null id is neither smaller nor larger than any other, so its text stays and
 is no source; rows of one id aren't sources for each other; texts shorter than SPAN stay; an empty table gives an empty
@@ -42,7 +42,7 @@ HOT = 20_000
 CHUNK_BYTES = 3 << 18
 LONG = 2 * CHUNK_BYTES
 STOP = 0xFF  # ends a region; no valid text holds it
-TEXT, CONTESTED, LIKE, STRINGS, MASK = range(5)
+TEXT, CONTESTED, LIKE, STRINGS, MASK, FOLLOW = range(6)
 #: A chunk's number: 2^12 pieces of one long text follow each other.
 PIECES = 12
 MESSAGE = "part int, chunk long, kind int, block binary"
@@ -122,6 +122,21 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((c.mix64(h) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
+def _leaders(anchor: np.ndarray, region: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of regions in order of anchor, region and document: which lead their equals (the first, and the first of another document), and the place of each one's leader."""
+    n = len(anchor)
+    if not n:
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (region[1:] != region[:-1])
+    place = np.arange(n)
+    head = np.maximum.accumulate(np.where(fresh, place, 0))
+    other = own != own[head]
+    second = other.copy()
+    second[1:] &= ~other[:-1] | fresh[1:]
+    return fresh | second, np.where(other, np.maximum.accumulate(np.where(second, place, 0)), head)
+
+
 def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The regions of each chunk, to partitions by anchor."""
 
@@ -139,29 +154,27 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                 region = c.mix64(hashes.of(first, last + SPAN) + (at - first).astype(np.uint64) * _ANCHOR) >> _REGION
                 del hashes, data
                 anchor = gram >> _REGION
-                # One of equal regions stands for all: the first of the least document. Larger documents repeat it, its own other places are like it.
                 own = ids[doc]
                 order = np.lexsort((first, own, region, anchor))
-                fresh = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (region[order][1:] != region[order][:-1]))) if len(order) else np.zeros(0, bool)
-                head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
-                like, of = order[~fresh], head[~fresh]
+                lead, of = _leaders(anchor[order], region[order], own[order])
+                like = order[~lead]
                 if len(like):
-                    yield _message(int(chunk % parts), chunk, LIKE, c.pack(c.narrow(first[like]), c.narrow(first[of]), (last - first)[like].astype(np.uint8), (own[like] > own[of]).astype(np.uint8)))
-                lead = order[fresh]
-                anchor, region, first, last, doc = (x[lead] for x in (anchor, region, first, last, doc))
+                    yield _message(int(chunk % parts), chunk, LIKE, c.pack(c.narrow(first[like]), c.narrow(first[order[of[~lead]]])))
+                anchor, region, first, last, doc = (x[order[lead]] for x in (anchor, region, first, last, doc))
                 part = _part(anchor, parts)
                 order = np.argsort((part.astype(np.uint64) << np.uint64(48)) | anchor)
-                part, anchor, first, width, own = part[order], anchor[order], first[order], (last - first)[order], ids[doc[order]]
+                part, anchor, region, first, width, own = part[order], anchor[order], region[order], first[order], (last - first)[order], ids[doc[order]]
                 edge = np.searchsorted(part, np.arange(parts + 1))
                 low = np.uint64(0xFFFFFFFF)
                 a_hi, a_lo = (anchor >> np.uint64(32)).astype(np.uint16), (anchor & low).astype(np.uint32)
+                r_hi, r_lo = (region >> np.uint64(32)).astype(np.uint16), (region & low).astype(np.uint32)
                 base = int(own.min()) if len(own) else 0
                 own, first, width = c.narrow(own - base), c.narrow(first), width.astype(np.uint8)
                 rows = []
                 for p in range(parts):
                     s = slice(edge[p], edge[p + 1])
                     if s.start < s.stop:
-                        rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], first[s], width[s], own[s], np.array([base]))))
+                        rows.append((p, chunk, TEXT, c.pack(a_hi[s], a_lo[s], r_hi[s], r_lo[s], first[s], width[s], own[s], np.array([base]))))
                 yield from _messages(rows)
         forget()
         c.trim()
@@ -201,25 +214,29 @@ def _sort_out(hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             use = np.searchsorted(twice, anchor)
             use = twice[np.minimum(use, len(twice) - 1)] == anchor
             anchor = anchor[use]
-            first = np.concatenate([b[2].astype(np.int64) for b in blocks])[use]
-            width = np.concatenate([b[3] for b in blocks])[use]
-            own = np.concatenate([b[4].astype(np.int64) + b[5][0] for b in blocks])[use]
+            region = np.concatenate([(b[2].astype(np.uint64) << np.uint64(32)) | b[3] for b in blocks])[use]
+            first = np.concatenate([b[4].astype(np.int64) for b in blocks])[use]
+            width = np.concatenate([b[5] for b in blocks])[use]
+            own = np.concatenate([b[6].astype(np.int64) + b[7][0] for b in blocks])[use]
             chunk = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])[use]
             del blocks
-            order = np.lexsort((first, chunk, anchor))
-            anchor, first, width, own, chunk = (x[order] for x in (anchor, first, width, own, chunk))
+            order = np.lexsort((first, chunk, own, region, anchor))
+            anchor, region, first, width, own, chunk = (x[order] for x in (anchor, region, first, width, own, chunk))
+            lead, of = _leaders(anchor, region, own)
             edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             size = np.diff(np.append(edge, len(anchor)))
             several = np.repeat(np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge), size)
-            crowded = np.repeat(size > hot, size)
+            different = np.concatenate(([True], region[1:] != region[:-1])).astype(np.int64)
+            crowded = np.repeat(np.add.reduceat(different, edge) > hot, size)
             out = []
-            for k, values in ((CONTESTED, several & ~crowded), (STRINGS, several & crowded)):
+            for k, values in ((CONTESTED, several & ~crowded & lead), (STRINGS, several & crowded), (FOLLOW, several & ~crowded & ~lead)):
                 i = np.flatnonzero(values)
                 i = i[np.argsort(chunk[i], kind="stable")]
                 at = np.searchsorted(chunk[i], np.arange(len(chunks) + 1))
                 for n in np.flatnonzero(np.diff(at)):
                     s = i[at[n] : at[n + 1]]
-                    out.append((part, int(chunks[n]), k, c.pack(c.narrow(first[s]), c.narrow(width[s]))))
+                    arrays = (c.narrow(first[s]), c.narrow(width[s])) if k != FOLLOW else (c.narrow(first[s]), chunks[chunk[of[s]]], c.narrow(first[of[s]]))
+                    out.append((part, int(chunks[n]), k, c.pack(*arrays)))
             yield from _messages(out)
         c.trim()
 
@@ -369,11 +386,16 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which strings of each contested region occur in a smaller document, as bits."""
+    """Which strings of each contested region, and of those that follow one, occur in a smaller document, as bits."""
     for part, rows in _grouped(batches, "part").items():
-        chunks = np.array([x[0] for x in rows])
-        blocks = [c.unpack(x[2]) for x in rows]
+        follow = [(chunk, c.unpack(block)) for chunk, kind, block in rows if kind == FOLLOW]
+        shards = sorted((x for x in rows if x[1] == CONTESTED), key=lambda x: x[0])
         rows.clear()
+        if not shards:
+            continue
+        chunks = np.array([x[0] for x in shards])
+        blocks = [c.unpack(x[2]) for x in shards]
+        shards.clear()
         block, string, place = merge_transforms([(b[0], b[1], b[2]) for b in blocks])
         if not len(block):
             continue
@@ -395,6 +417,16 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, ch, f = np.bitwise_or.reduceat(bit, new), ch[new], f[new]
         edge = np.searchsorted(ch, np.arange(len(chunks) + 1))
         yield from _messages([(part, int(chunks[n]), MASK, c.pack(c.narrow(f[edge[n] : edge[n + 1]]), mask[edge[n] : edge[n + 1]])) for n in np.flatnonzero(np.diff(edge))])
+        found = (ch.astype(np.int64) << 32) | f
+        out = []
+        for chunk, (own, of, at) in follow:
+            k = np.minimum(np.searchsorted(chunks, of), len(chunks) - 1)
+            key = (k << 32) | at
+            i = np.minimum(np.searchsorted(found, key), len(found) - 1)
+            ok = (chunks[k] == of) & (found[i] == key)
+            if ok.any():
+                out.append((part, chunk, MASK, c.pack(own[ok], mask[i[ok]])))
+        yield from _messages(out)
     c.trim()
 
 
@@ -407,10 +439,6 @@ def _covered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
             masks.append(c.unpack(block))
         elif kind == LIKE:
             likes.append(c.unpack(block))
-    for first, _, width, larger in likes:
-        at = first[larger == 1].astype(np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + width[larger == 1] + SPAN, -1)
     if masks:
         first, mask = (np.concatenate([x[k].astype(np.int64) for x in masks]) for k in (0, 1))
         order = np.argsort(first, kind="stable")
@@ -418,7 +446,7 @@ def _covered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
         new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         first, mask = first[new], np.bitwise_or.reduceat(mask, new)
         if likes:
-            at, head = (np.concatenate([x[k][x[3] == 0].astype(np.int64) for x in likes]) for k in (0, 1))
+            at, head = (np.concatenate([x[k].astype(np.int64) for x in likes]) for k in (0, 1))
             k = np.minimum(np.searchsorted(first, head), len(first) - 1)
             ok = first[k] == head
             first, mask = np.concatenate((first, at[ok])), np.concatenate((mask, mask[k[ok]]))
@@ -512,7 +540,7 @@ def _run(docs: DataFrame, replace: bool, hot: int, long: int) -> DataFrame:
     verdicts = c.cut(asked.mapInArrow(_sort_out(hot), MESSAGE), "verdicts")
     c.release(spark)
     shards = to_chunks(verdicts.where(F.col("kind").isin(CONTESTED, STRINGS))).mapInArrow(_shards(parts), MESSAGE)
-    masks = c.cut(c.routed(shards, parts, "part").mapInArrow(_merge, MESSAGE), "masks")
+    masks = c.cut(c.routed(shards.unionByName(verdicts.where(F.col("kind") == FOLLOW)), parts, "part").mapInArrow(_merge, MESSAGE), "masks")
     c.release(spark)
     answers = verdicts.where(F.col("kind") == LIKE).unionByName(masks)
     fields = [*(f for f in docs.schema.fields if replace or f.name != "text"), *added]

@@ -46,11 +46,10 @@ def test_spans_match_direct_computation(odd_docs, hot, long):
 
 
 def test_the_merge_decides(docs, monkeypatch):
-    """Without what the merged transforms find, nothing that repeats across chunks goes."""
-    with_merge = {r.doc_id: r.n_removed for r in bwt_dedup.spans(docs).collect()}
+    """Without what the merged transforms find, nothing goes."""
+    assert any(r.n_removed for r in bwt_dedup.spans(docs).collect())
     monkeypatch.setattr(bwt_dedup, "_merge", lambda batches: iter(()))
-    without = {r.doc_id: r.n_removed for r in bwt_dedup.spans(docs).collect()}
-    assert sum(without.values()) < sum(with_merge.values()) / 2
+    assert not any(r.n_removed for r in bwt_dedup.spans(docs).collect())
 
 
 def test_empty(no_docs):
