@@ -128,6 +128,16 @@ def _keys(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _numbers(a: np.ndarray) -> np.ndarray:
+    """Non-negative numbers as their width and their bytes, last bytes first: the bytes that are mostly zero lie together."""
+    a = c.narrow(a)
+    return np.concatenate((np.array([a.itemsize], np.uint8), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).ravel() if len(a) else np.zeros(0, np.uint8)))
+
+
+def _values(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a[1:].reshape(int(a[0]), -1).T).view(f"<u{a[0]}").ravel() if len(a) > 1 else np.zeros(0, np.uint8)
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
@@ -211,20 +221,20 @@ class Block:
     def hear(self, level: int) -> None:
         """Take in the counts of a level."""
         answers = dict(self.answers[REPLY, level])
-        found = np.concatenate([c.unpack(answers[int(p)])[0] for p in self.grams[level - 1].part]).astype(np.int64)
+        found = np.concatenate([_values(c.unpack(answers[int(p)])[0]) for p in self.grams[level - 1].part]).astype(np.int64)
         self.counts.append(found[self.grams[level - 1].at])
 
     def requests(self, chunk: int, level: int) -> Iterator[pa.RecordBatch]:
         g = self.ask(level)
         weight = np.bincount(g.at, weights=self.learn[self.doc], minlength=len(g.key)).astype(np.int64)
         for p, a, b in zip(g.part.tolist(), g.edge, g.edge[1:], strict=False):
-            arrays = [_planes(g.key[a:b]), c.narrow(weight[a:b])]
+            arrays = [_planes(g.key[a:b]), _numbers(weight[a:b])]
             if level > 1:
                 first = g.first[a:b]
                 own = first[_runs(g.key[a:b] >> _WORD_BITS)]
                 total = self.totals[level - 1][own]
                 hot = np.where(total > self.size.hot(self.parts), total, 0)
-                arrays += [c.narrow(self.counts[level - 2][first]), c.narrow(self.totals[level - 2][own]) if level > 2 else np.zeros(0, np.uint8), c.narrow(hot) if hot.any() else np.zeros(0, np.uint8)]
+                arrays += [_numbers(self.counts[level - 2][first]), _numbers(self.totals[level - 2][own] if level > 2 else own[:0]), _numbers(hot if hot.any() else hot[:0])]
             yield _row(p, chunk, level, REQUEST, c.pack(*arrays))
 
     def alphas(self, level: int) -> np.ndarray:
@@ -275,14 +285,20 @@ def _ask(level: int, parts: int, size: Sizes) -> Callable[[Iterable[pa.RecordBat
     return run
 
 
+def _decoded(block: bytes) -> list[np.ndarray]:
+    """The arrays of a question (keys, weights, counts one level down, totals one level down, of spread contexts totals) or of a part of a table."""
+    found = c.unpack(block)
+    return [_keys(x) if k == 0 or (k == 3 and len(found) > 5) else _values(x) for k, x in enumerate(found)]
+
+
 def _answer(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A part of the level's table (its keys, counts, counts one level down; its contexts, their totals one level down and, if spread, here), and the blocks' answers."""
 
     def solve(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         chunks = [r.chunk if r.kind == REQUEST else -1 for r in rows]
-        blocks = [c.unpack(r.block) for r in rows]
+        blocks = [_decoded(r.block) for r in rows]
         rows.clear()
-        keys = [_keys(b[0]) for b in blocks]
+        keys = [b[0] for b in blocks]
         sizes = np.array([len(k) for k in keys])
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([b[1] for b in blocks]), minlength=len(key)).astype(np.int64)
@@ -295,7 +311,7 @@ def _answer(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             for k, b, s, e in zip(keys, blocks, edge, edge[1:], strict=False):
                 own, table = at[s:e], len(b) > 5
                 lower[own] = b[2]
-                found = _keys(b[3]) if table else (k >> _WORD_BITS)[_runs(k >> _WORD_BITS)]
+                found = b[3] if table else (k >> _WORD_BITS)[_runs(k >> _WORD_BITS)]
                 runs = np.minimum(np.searchsorted(context, found), len(context) - 1)
                 there = context[runs] == found  # a table holds spread contexts that have none of its n-grams here
                 for out, values in ((below, b[-2]), (here, b[-1])):
@@ -310,16 +326,16 @@ def _answer(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             if chunk < 0:
                 continue
             own = at[s:e]
-            yield _row(part, chunk, level, REPLY, c.pack(c.narrow(total[own])))
+            yield _row(part, chunk, level, REPLY, c.pack(_numbers(total[own])))
             if level > 1:
                 miss = np.flatnonzero(~seen[own])
                 miss = miss[known[of[own[miss]]]]
                 if len(miss):
                     needs += [np.array([chunk]), c.narrow(miss), c.narrow(number[of[own[miss]]])]
         hist = np.bincount(np.minimum(total[seen], COUNTS + 1), minlength=COUNTS + 2)
-        arrays = [_planes(key[seen]), c.narrow(total[seen])]
+        arrays = [_planes(key[seen]), _numbers(total[seen])]
         if level > 1:
-            arrays += [c.narrow(lower[seen]), _planes(context[known]), c.narrow(below[known]) if below.any() else np.zeros(0, np.uint8), c.narrow(here[known]) if here.any() else np.zeros(0, np.uint8)]
+            arrays += [_numbers(lower[seen]), _planes(context[known]), _numbers(below[known] if below.any() else below[:0]), _numbers(here[known] if here.any() else here[:0])]
         yield _row(part, -1, level, TABLE, c.pack(*arrays), c.pack(*needs) if needs else None, [*hist.tolist(), int(total.sum()), int(seen.sum())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +351,8 @@ def _answer(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
 def _masses(blocks: list[np.ndarray], upper: Discounts, lower: Discounts, total: int) -> tuple[np.ndarray, ...]:
     """By context of a part: its key, its total (of spread ones: in all parts), that one level down, and kept and lower mass in this part."""
-    keys, counts, low, contexts_, below, here = blocks
-    context = _keys(contexts_)
-    of, n = np.searchsorted(context, _keys(keys) >> _WORD_BITS), len(context)
+    keys, counts, low, context, below, here = blocks
+    of, n = np.searchsorted(context, keys >> _WORD_BITS), len(context)
     kept, mass, own = (np.bincount(of, weights=x, minlength=n) for x in (upper.kept(counts), lower.kept(low), counts))
     here = here.astype(np.int64) if len(here) else np.zeros(n, np.int64)
     below = below.astype(np.int64) if len(below) else np.full(n, total)
@@ -353,7 +368,7 @@ def _weigh(upper: Discounts, lower: Discounts, total: int, spread: dict[tuple[in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _columns(batches):
-            blocks = c.unpack(row.block)
+            blocks = _decoded(row.block)
             if not len(blocks[3]):
                 continue
             context, own, below, kept, mass, hot = _masses(blocks, upper, lower, total)
@@ -374,7 +389,7 @@ def _spread_masses(table: DataFrame, upper: Discounts, lower: Discounts, total:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _columns(batches):
-            blocks = c.unpack(row.block)
+            blocks = _decoded(row.block)
             if len(blocks[3]) and len(blocks[5]):
                 context, own, below, kept, mass, hot = _masses(blocks, upper, lower, total)
                 yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (context.astype(np.int64), own, below, kept, mass)], names=["context", "own", "below", "kept", "mass"])
@@ -453,7 +468,7 @@ def _histogram(table: DataFrame) -> np.ndarray:
 def _kept_mass(table: DataFrame, d: Discounts) -> float:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _columns(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([float(d.kept(c.unpack(row.block)[1]).sum())])], names=["kept"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(d.kept(_decoded(row.block)[1]).sum())])], names=["kept"])
 
     return table.where(F.col("kind") == TABLE).mapInArrow(run, "kept double").agg(F.sum("kept")).first()[0] or 0.0
 
