@@ -3,15 +3,16 @@
 A byte is removed if a string of SPAN bytes covers it that also starts in a document with a smaller id. Documents are packed into
 chunks; a longer text is cut into chunks that overlap by SPAN - 1 bytes, so that each string starts in one of them. Each string of SPAN
 bytes picks an anchor by its own bytes (see _anchors), and the strings that pick one anchor form a region. Hashes only tell which regions
-are looked at: those whose anchor occurs in several documents, and of equal regions two, that of the least document and the next other
-document's first. Whether their bytes repeat is read off the merged transforms, and what is found of those two holds for the regions they stand for:
+are looked at: those whose anchor occurs in several documents. Equal regions are one string of the transforms, with the least of its
+documents, and the others follow it as its further occurrences. What repeats is read off the merged transforms:
 
 - Every chunk sorts the rotations of its regions once and sends each partition its shard as a Burrows-Wheeler transform.
 - The partition merges the shards by refining their interleave. It starts from the shards one after another, each in its own order.
-  One pass prepends a byte: rows are distributed by their transform byte, stably, each then moving to its last-to-first place, so rows of one
+  One pass prepends two bytes: rows are distributed by their transform bytes, stably, each then moving to its last-to-first place, so rows of one
   shard keep their order and only the interleave changes; blocks of rows with a common prefix are split where the byte or the block before
   differs, and rows alone in a block drop out. After SPAN passes the blocks left are the repeated intervals, whose rows have SPAN bytes in
-  common. The smallest document of an interval keeps it.
+  common. The smallest document of an interval keeps it; all further occurrences of an interval's strings, and of a string that stands for
+  several documents, lose them.
 
 An anchor with more than `hot` different regions is spread: its strings go to partitions by their own hashes, as shards of single strings.
 
@@ -122,19 +123,11 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((c.mix64(h) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def _leaders(anchor: np.ndarray, region: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of regions in order of anchor, region and document: which lead their equals (the first, and the first of another document), and the place of each one's leader."""
-    n = len(anchor)
-    if not n:
-        return np.zeros(0, bool), np.zeros(0, np.int64)
-    fresh = np.ones(n, bool)
+def _leaders(anchor: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of regions in order of anchor, region and document: which are the first of their equals, and the place of each one's first."""
+    fresh = np.ones(len(anchor), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (region[1:] != region[:-1])
-    place = np.arange(n)
-    head = np.maximum.accumulate(np.where(fresh, place, 0))
-    other = own != own[head]
-    second = other.copy()
-    second[1:] &= ~other[:-1] | fresh[1:]
-    return fresh | second, np.where(other, np.maximum.accumulate(np.where(second, place, 0)), head)
+    return fresh, np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
 
 
 def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -156,10 +149,10 @@ def _ask(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
                 anchor = gram >> _REGION
                 own = ids[doc]
                 order = np.lexsort((first, own, region, anchor))
-                lead, of = _leaders(anchor[order], region[order], own[order])
-                like = order[~lead]
+                lead, of = _leaders(anchor[order], region[order])
+                like, head = order[~lead], order[of[~lead]]
                 if len(like):
-                    yield _message(int(chunk % parts), chunk, LIKE, c.pack(c.narrow(first[like]), c.narrow(first[order[of[~lead]]])))
+                    yield _message(int(chunk % parts), chunk, LIKE, c.pack(c.narrow(first[like]), c.narrow(first[head]), (last - first)[like].astype(np.uint8), (own[like] > own[head]).astype(np.uint8)))
                 anchor, region, first, last, doc = (x[order[lead]] for x in (anchor, region, first, last, doc))
                 part = _part(anchor, parts)
                 order = np.argsort((part.astype(np.uint64) << np.uint64(48)) | anchor)
@@ -222,7 +215,7 @@ def _sort_out(hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             del blocks
             order = np.lexsort((first, chunk, own, region, anchor))
             anchor, region, first, width, own, chunk = (x[order] for x in (anchor, region, first, width, own, chunk))
-            lead, of = _leaders(anchor, region, own)
+            lead, of = _leaders(anchor, region)
             edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             size = np.diff(np.append(edge, len(anchor)))
             several = np.repeat(np.minimum.reduceat(own, edge) < np.maximum.reduceat(own, edge), size)
@@ -235,7 +228,7 @@ def _sort_out(hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                 at = np.searchsorted(chunk[i], np.arange(len(chunks) + 1))
                 for n in np.flatnonzero(np.diff(at)):
                     s = i[at[n] : at[n + 1]]
-                    arrays = (c.narrow(first[s]), c.narrow(width[s])) if k != FOLLOW else (c.narrow(first[s]), chunks[chunk[of[s]]], c.narrow(first[of[s]]))
+                    arrays = (c.narrow(first[s]), c.narrow(width[s])) if k != FOLLOW else (c.narrow(first[s]), chunks[chunk[of[s]]], c.narrow(first[of[s]]), width[s], (own[s] > own[of[s]]).astype(np.uint8))
                     out.append((part, int(chunks[n]), k, c.pack(*arrays)))
             yield from _messages(out)
         c.trim()
@@ -381,8 +374,10 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
     own = np.argsort(row)  # the first interleave: shard after shard, each as it was sorted
     row, string, place = row[own], string[own], place[own]
     block = np.zeros(len(row), np.int32)
-    for _ in range(SPAN):
-        byte = transform[row]
+    two = (transform[to].astype(np.uint16) << np.uint16(8)) | transform  # two bytes a pass: the second stands before the first
+    to = to[to]
+    for _ in range(SPAN // 2):
+        byte = two[row]
         order = np.argsort(byte, kind="stable")
         byte, block = byte[order], block[order]
         edge = np.empty(len(row) + 1, bool)
@@ -408,36 +403,38 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = np.array([x[0] for x in shards])
         blocks = [c.unpack(x[2]) for x in shards]
         shards.clear()
-        block, string, place = merge_transforms([(b[0], b[1], b[2]) for b in blocks])
-        if not len(block):
-            continue
         first = np.concatenate([b[3].astype(np.int64) for b in blocks])
+        chunk = np.repeat(np.arange(len(blocks)), [len(b[1]) for b in blocks])
+        merged = np.sort((chunk << 32) | first)
+        block, string, place = merge_transforms([(b[0], b[1], b[2]) for b in blocks])
         shift = np.concatenate([b[4].astype(np.int64) for b in blocks])
         doc = np.concatenate([b[5].astype(np.int64) + b[6][0] for b in blocks])
-        chunk = np.repeat(np.arange(len(blocks)), [len(b[1]) for b in blocks])
-        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        least = np.repeat(np.minimum.reduceat(doc[string], edge), np.diff(np.append(edge, len(block))))
-        found = least < doc[string]
-        string, place = string[found], place[found]
+        if len(block):
+            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            least = np.repeat(np.minimum.reduceat(doc[string], edge), np.diff(np.append(edge, len(block))))
+            found = least < doc[string]
+            string, place = string[found], place[found]
         bit = np.uint32(1) << (place + shift[string]).astype(np.uint32)
-        order = np.lexsort((first[string], chunk[string]))
-        string, bit = string[order], bit[order]
-        ch, f = chunk[string], first[string]
-        new = np.flatnonzero(np.concatenate(([True], (ch[1:] != ch[:-1]) | (f[1:] != f[:-1])))) if len(f) else np.zeros(0, np.int64)
-        if not len(new):
-            continue
-        mask, ch, f = np.bitwise_or.reduceat(bit, new), ch[new], f[new]
-        edge = np.searchsorted(ch, np.arange(len(chunks) + 1))
-        yield from _messages([(part, int(chunks[n]), MASK, c.pack(c.narrow(f[edge[n] : edge[n + 1]]), mask[edge[n] : edge[n + 1]])) for n in np.flatnonzero(np.diff(edge))])
-        found = (ch.astype(np.int64) << 32) | f
-        out = []
-        for chunk, (own, of, at) in follow:
+        key = (chunk[string] << 32) | first[string]
+        order = np.argsort(key, kind="stable")
+        key, bit = key[order], bit[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        mask, key = np.bitwise_or.reduceat(bit, new) if len(new) else bit, key[new]
+        edge = np.searchsorted(key >> 32, np.arange(len(chunks) + 1))
+        out = [(part, int(chunks[n]), MASK, c.pack(c.narrow(key[edge[n] : edge[n + 1]] & 0xFFFFFFFF), mask[edge[n] : edge[n + 1]])) for n in np.flatnonzero(np.diff(edge))]
+        for number, (own, of, at, width, larger) in follow:
             k = np.minimum(np.searchsorted(chunks, of), len(chunks) - 1)
-            key = (k << 32) | at
-            i = np.minimum(np.searchsorted(found, key), len(found) - 1)
-            ok = (chunks[k] == of) & (found[i] == key)
+            leader = (k << 32) | at
+            there = (chunks[k] == of) & (merged[np.minimum(np.searchsorted(merged, leader), len(merged) - 1)] == leader)
+            bits = np.zeros(len(own), np.uint32)
+            if len(key):
+                i = np.minimum(np.searchsorted(key, leader), len(key) - 1)
+                bits[key[i] == leader] = mask[i][key[i] == leader]
+            whole = (np.uint64(1) << (width.astype(np.uint64) + np.uint64(1))) - np.uint64(1)  # its string stands in a smaller document
+            bits = np.where(larger == 1, whole.astype(np.uint32), bits)
+            ok = there & (bits > 0)
             if ok.any():
-                out.append((part, chunk, MASK, c.pack(own[ok], mask[i[ok]])))
+                out.append((part, number, MASK, c.pack(own[ok], bits[ok])))
         yield from _messages(out)
     c.trim()
 
@@ -451,6 +448,10 @@ def _covered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
             masks.append(c.unpack(block))
         elif kind == LIKE:
             likes.append(c.unpack(block))
+    for first, _, width, larger in likes:
+        at = first[larger == 1].astype(np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + width[larger == 1] + SPAN, -1)
     if masks:
         first, mask = (np.concatenate([x[k].astype(np.int64) for x in masks]) for k in (0, 1))
         order = np.argsort(first, kind="stable")
@@ -458,7 +459,7 @@ def _covered(n: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
         new = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         first, mask = first[new], np.bitwise_or.reduceat(mask, new)
         if likes:
-            at, head = (np.concatenate([x[k].astype(np.int64) for x in likes]) for k in (0, 1))
+            at, head = (np.concatenate([x[k][x[3] == 0].astype(np.int64) for x in likes]) for k in (0, 1))
             k = np.minimum(np.searchsorted(first, head), len(first) - 1)
             ok = first[k] == head
             first, mask = np.concatenate((first, at[ok])), np.concatenate((mask, mask[k[ok]]))
