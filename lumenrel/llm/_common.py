@@ -53,6 +53,11 @@ def clean(spark: SparkSession) -> None:
         _written.discard(name)
 
 
+def later(path: str) -> None:
+    """Let the next clean() delete this table too."""
+    _written.add(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote and nothing needs any more, and let go of finished shuffles."""
     spark = df.sparkSession

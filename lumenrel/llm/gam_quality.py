@@ -149,7 +149,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs; `held_out` is a condition on doc_id whose rows aren't learnt from."""
+    """doc_id, held_out, score and predicted of each row of docs; `held_out` is a condition on doc_id whose rows aren't learnt from, nor are those without an id, which are held out."""
     rows = c.cut(described(docs), "features")
     model = fit(rows, labels.where(~held_out), **options)
-    return score(rows, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(rows, model).select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Texts are lower-cased, everything but letters becomes a space, and n-grams of `ORDERS` characters are hashed into
+Texts are lower-cased, ASCII characters but letters become spaces (those beyond ASCII stay as they are), and n-grams of `ORDERS` characters are hashed into
 `BUCKETS` columns an order. A column's value is its share of the text's n-grams times its inverse document frequency. Document
 frequencies are counted over all training documents. Weights are learnt on the driver with follow-the-regularised-leader
 (per-coordinate steps, elastic net) from a bounded sample: about `most_rows` training documents, kept by
@@ -201,6 +201,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, held_out: Column, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; rows that meet `held_out` (a condition on doc_id) aren't learnt from."""
+    """doc_id, held_out, lang_pred and score; rows that meet `held_out` (a condition on doc_id) aren't learnt from, nor are those without an id, which are held out."""
     model = fit(docs.where(~held_out), **options)
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score")

@@ -32,7 +32,8 @@ from lumenrel.llm import _common as c
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-SHARDS = 16
+#: Output shards: one for some words, and some at least.
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 16
 SEED = 20240229
 SOURCES_SENT = 50_000
 #: Blocks of a source from which its last draws are picked.
@@ -151,13 +152,21 @@ def _fill(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(columns[0], pa.string()), "block": pa.array(columns[1], pa.int64()), "chosen": pa.array(columns[2], pa.list_(pa.int64()))})
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and the shard of each copy, for each row of docs."""
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the shard of each copy, for each row of docs.
+
+    What is taken is what the shards draw: a row has as many copies as shards that the tree's quotas give its block's draws to.
+    """
+    return _planned(docs, weights, shards, seed)[0]
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], shards: int | None, seed: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = c.cut(sized(docs), "sizes")
     known = rows.groupBy(_source_key(F.col("source")).alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     known.sort(key=lambda r: (r["key"] == "n", r["key"]))  # by code point, null last
     sizes = [r["size"] for r in known]
+    shards = shards or max(LEAST_SHARDS, -(-sum(sizes) // SHARD_WORDS))
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(known))])
     listed = []
     for i, (r, t) in enumerate(zip(known, want, strict=True)):
@@ -195,23 +204,25 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SH
     dealt = blocks.join(edges, ["key", "block"], "left")
     shares = blocks.select("key", "block", "number", "blocks", "rank", "passes", "whole", "part").mapInPandas(deal, "key string, block long, whole boolean, part boolean, shards array<int>")
     shares = shares.join(dealt.select("key", "block", "chosen"), ["key", "block"])
-    extra = (F.col("whole") | (F.col("part") & F.coalesce(F.array_contains("chosen", F.col("place")), F.lit(False)))).cast("int")
-    return (
+    extra = F.col("whole") | (F.col("part") & F.coalesce(F.array_contains("chosen", F.col("place")), F.lit(False)))
+    made = (
         placed.join(shares, ["key", "block"])
-        .withColumn("copies", F.col("passes") + extra)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
+        .withColumn("shards", F.when(extra, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("passes"))))
+        .withColumn("copies", F.size("shards"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "shards")
     )
+    return made, shards
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the plan takes them, dealt to shards and shuffled inside each."""
-    planned = plan(docs, weights, shards, seed).where("copies > 0")
+    planned, shards = _planned(docs, weights, shards, seed)
+    planned = planned.where("copies > 0")
     once = planned.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.first("shards").alias("_shards"))  # rows of one id and source share their fate
     joined = docs.join(once, docs["doc_id"].eqNullSafe(once["_id"]) & docs["source"].eqNullSafe(once["_source"]))
     spread = joined.select(*(docs[x] for x in docs.columns), F.posexplode("_shards").alias("_copy", "_shard"))
     return (
-        spread.withColumn("_order", F.xxhash64("doc_id", "_copy", F.lit(seed + 3)))
-        .repartition(shards, "_shard")
+        c.routed(spread.withColumn("_order", F.xxhash64("doc_id", "_copy", F.lit(seed + 3))), shards, "_shard")
         .sortWithinPartitions("_shard", "_order")
         .select(*docs.columns)
     )

@@ -11,12 +11,16 @@ from lumenrel.llm import _common as c
 from lumenrel.llm import bwt_dedup, compression_rules, gam_quality, katz, langid, mixing, posting_lists, simhash, unigram_pieces, url_rules
 
 
+#: Order 3 needs more disk than the check tool allows (figures in the README); the operator takes any order.
+KATZ_ORDER = 2
+
+
 def op1_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.measure(c.table(spark, sf_dir, "documents"))
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 5) != 1)
+    return katz.score(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 5) != 1, KATZ_ORDER)
 
 
 def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(c.table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("long").alias("copies"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), F.size("shards").cast("long").alias("copies"), F.concat_ws(",", "shards").alias("shards"))
 
 
 def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

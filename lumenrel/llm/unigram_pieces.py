@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-A vocabulary file gives pieces with log scores. The pieces' bytes form a double-array trie: state s goes on byte b to
+A vocabulary file gives pieces with log scores; one of merges gives ranks instead, which Zipf's law turns into log probabilities (nothing is trained). The pieces' bytes form a double-array trie: state s goes on byte b to
 base[s] + b if check there is s. A text gets a dummy space in front, spaces become the marker U+2581, and the segmentation
 with the greatest sum of scores wins; characters that no piece covers cost the least score less 10 and become byte
 pieces. Ties go to the longest last piece, as from a left-to-right search that keeps the first best.
@@ -30,6 +30,7 @@ from lumenrel.llm import _common as c
 MARK = "▁".encode()
 UNKNOWN_COST = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+MERGES = 2  # the kind of a vocabulary whose scores are ranks of merges
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST_TOGETHER = 192
 KNOWN_STRETCHES = 200_000
@@ -235,6 +236,15 @@ def char_sizes(lead: np.ndarray) -> np.ndarray:
     return 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
 
 
+def zipf(ranks: list[float]) -> list[float]:
+    """Log probabilities of pieces by rank, the greatest score first: in proportion to 1 / place, summing to one."""
+    order = np.argsort(-np.array(ranks, float), kind="stable")
+    share = 1 / np.arange(1, len(order) + 1)
+    out = np.empty(len(order))
+    out[order] = np.log(share / share.sum())
+    return out.tolist()
+
+
 @functools.lru_cache(maxsize=4)
 def _load(path: str) -> Vocabulary:
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -242,7 +252,12 @@ def _load(path: str) -> Vocabulary:
     proto = pb.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
-    return Vocabulary([p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces])
+    kinds, scores = [p.type for p in proto.pieces], [p.score for p in proto.pieces]
+    if proto.trainer_spec.model_type == MERGES:
+        own = [i for i, k in enumerate(kinds) if k in (NORMAL, USER)]
+        for i, x in zip(own, zipf([scores[i] for i in own]), strict=True):
+            scores[i] = x
+    return Vocabulary([p.piece for p in proto.pieces], scores, kinds)
 
 
 class Encoder:
