@@ -32,32 +32,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-#: Paths of the tables of this process that cut() wrote and nothing has deleted.
-_written: set[str] = set()
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which ends its lineage on stable storage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenrel/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all tables that cut() wrote so far; for a caller who has written the results that were made of them."""
-    for name in list(_written):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _written.discard(name)
-
-
-def later(path: str) -> None:
-    """Let the next clean() delete this table too."""
-    _written.add(path)
-
-
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote and nothing needs any more, and let go of finished shuffles."""
     spark = df.sparkSession

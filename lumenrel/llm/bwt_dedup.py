@@ -255,19 +255,19 @@ def rotation_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     for j in range(8):
         own = (own << np.uint64(8)) | data[start + (late - start + j) % size]
     key[late] = own
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(np.int32)
     many = np.diff(np.append(edge, n))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(edge, many)  # a rank is the first place of its block in the sorted order
     tied = order[np.repeat(many > 1, many)]
-    del key, wide, edge, many
+    del key, wide, edge, many, order
     string = np.searchsorted(starts, tied, side="right") - 1
     depth, longest = 8, int(sizes.max())
     while depth < longest and len(tied):
         first, size = starts[string], sizes[string]
-        both = rank[tied] * n + rank[first + (tied - first + depth) % size]
+        both = rank[tied].astype(np.int64) * n + rank[first + (tied - first + depth) % size]
         sub = np.argsort(both, kind="stable")
         tied, string, both = tied[sub], string[sub], both[sub]
         block = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
@@ -279,8 +279,8 @@ def rotation_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
         still = np.repeat(many > 1, many)
         tied, string = tied[still], string[still]
         depth *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    out = np.empty(n, np.int32)
+    out[rank] = np.arange(n, dtype=np.int32)
     if len(tied):
         tied = tied[np.argsort(rank[tied], kind="stable")]
         block = np.flatnonzero(np.concatenate(([True], rank[tied][1:] != rank[tied][:-1])))
@@ -318,17 +318,18 @@ def _shards(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
             ends = np.cumsum(size + 1)
             starts = ends - size - 1
             text = np.full(int(ends[-1]), STOP, np.uint8)
-            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            text[np.repeat(starts, size) + within] = data[np.repeat(first + shift, size) + within]
+            within = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+            text[np.repeat(starts.astype(np.int32), size) + within] = data[np.repeat((first + shift).astype(np.int32), size) + within]
+            del within
             rows_ = rotation_order(text, starts, size + 1)
-            owner = np.repeat(np.arange(len(first)), size + 1)
-            rows_ = rows_[np.argsort(part[owner[rows_]], kind="stable")]
+            owner = np.repeat(np.arange(len(first), dtype=np.int32), size + 1)
+            rows_ = rows_[np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.int32)[owner[rows_]], kind="stable")]
             before = rows_ - 1
             at_start = starts[owner[rows_]] == rows_
             before[at_start] = ends[owner[rows_[at_start]]] - 1
             transform = text[before]
-            stop_row = np.empty(len(text), np.int64)
-            stop_row[rows_] = np.arange(len(rows_))
+            stop_row = np.empty(len(text), np.int32)
+            stop_row[rows_] = np.arange(len(rows_), dtype=np.int32)
             stop_row = stop_row[ends - 1]
             doc = ids[np.searchsorted(offsets, first, side="right") - 1]
             string_edge = np.searchsorted(part, np.arange(parts + 1))
@@ -337,7 +338,7 @@ def _shards(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
                 s = slice(string_edge[p], string_edge[p + 1])
                 a, b = int(starts[s.start]), int(ends[s.stop - 1])
                 base = int(doc[s].min())
-                out.append((p, chunk, CONTESTED, c.pack(transform[a:b], c.narrow(stop_row[s] - a), size[s].astype(np.uint8), c.narrow(first[s]), shift[s].astype(np.uint8), c.narrow(doc[s] - base), np.array([base]))))
+                out.append((p, chunk, CONTESTED, c.pack(transform[a:b], c.narrow(stop_row[s].astype(np.int64) - a), size[s].astype(np.uint8), c.narrow(first[s]), shift[s].astype(np.uint8), c.narrow(doc[s] - base), np.array([base]))))
             yield from _messages(out)
         forget()
         c.trim()

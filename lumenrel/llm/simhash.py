@@ -35,9 +35,9 @@ BLOCK = 4096
 #: Rows of ids or pairs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
 SENT = 1_000_000
 SMALL = 8
-#: Near copies: documents from which frequent shingles are counted and shingles kept of them; rows of a key all of whose pairs are
-#: candidates at once; rows of a block of larger keys; allowance for rounding in bounds.
-SAMPLE, FREQUENT = 5000, 500_000
+#: Near copies: one document in so many from which frequent shingles are counted (so that what counts as rare does not grow with the input), and
+#: shingles kept of them; rows of a key all of whose pairs are candidates at once; rows of a block of larger keys; allowance for rounding in bounds.
+ONE_IN, FREQUENT = 8, 2_000_000
 FEW = 4
 CELL = 1024
 SLACK = 1e-6
@@ -275,24 +275,28 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float,
 
     nodes = c.cut(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct(), "nodes")
     found = docs.select("doc_id", "text").join(_sent(nodes), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
-    found = c.cut(found, "shingles").groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if twice else c.cut(found, "shingles")
+    written = c.cut(found, "shingles")
+    found = written.groupBy("doc_id").agg(F.first("shingles").alias("shingles")) if twice else written
     # Sets that differ in at most d members have parities that differ in at most d bits, so most other pairs go before sets are sent.
     marks = c.cut(found.mapInArrow(parities, "doc_id long, size int, bits binary"), "marks")
     a, b = (marks.select(F.col("doc_id").alias(k), F.col("size").alias(n), F.col("bits").alias(v)) for k, n, v in (("hi", "n", "a"), ("lo", "m", "b")))
     pairs = c.cut(_sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "n", "m", "a", "b").mapInArrow(bounded, "hi long, lo long"), "bounded")
     a, b = (found.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("hi", "a"), ("lo", "b")))
-    return _sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long")
+    out = c.cut(_sent(pairs).join(a, "hi").join(b, "lo").select("hi", "lo", "a", "b").mapInArrow(compare, "hi long, lo long"), "similar")
+    for done in (nodes, written, marks, pairs):
+        c.drop(done)
+    return out
 
 
-def _frequent(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) that several of about SAMPLE of the documents hold, and in how many; they only order shingles, no pair depends on them."""
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several of one in ONE_IN of the documents hold, and in how many; they only order shingles, no pair depends on them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.chunks(batches):
             own = [np.unique(shingle_hashes(t, shingle)) for t in c.texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["h"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ONE_IN)) == 0).select("text")
     found = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), np.minimum(found["count"].to_numpy(), 65535).astype(np.uint16)
     order = np.argsort(h)
@@ -431,17 +435,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     ids = classes.select("doc_id").distinct()
     rows = ids.count()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if rows <= SENT else ids, "doc_id", "left_semi")
-    dealt = _prefixes(own, shingle, similarity, _frequent(own, rows, shingle)).repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "id")
+    dealt = _prefixes(own, shingle, similarity, _frequent(own, shingle)).repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "id")
     found = c.cut(dealt.mapInArrow(_cells(similarity), _CELL_SCHEMA), "cells")
     c.release(docs.sparkSession)
     pairs = c.cut(found.where("b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "candidates")
-    similar = c.cut(_similar(docs, pairs, shingle, similarity, twice), "similar")  # one Python worker a task at a time
+    similar = _similar(docs, pairs, shingle, similarity, twice)
     parts = components(similar, "hi", "lo")
     crowded = found.where("b is null").select("key", F.col("a").alias("id"), "n", "rest")
     if not crowded.isEmpty():
         left = c.cut(_apart(crowded, parts, similarity).join(pairs, ["hi", "lo"], "left_anti"), "candidates")
         if not left.isEmpty():
-            similar = similar.unionByName(c.cut(_similar(docs, left, shingle, similarity, twice), "similar"))
+            similar = similar.unionByName(_similar(docs, left, shingle, similarity, twice))
             parts = components(similar, "hi", "lo")
     named = classes.join(parts, F.col("doc_id") == F.col("node"), "left").select("form", F.coalesce("component", "doc_id").alias("component_id"))
     return prints.join(named, "form").select("doc_id", "component_id")

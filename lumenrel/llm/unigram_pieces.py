@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2  # the kind of a vocabulary whose scores are ranks of merges
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST_TOGETHER = 192
-KNOWN_STRETCHES = 200_000
+KNOWN_STRETCHES = 100_000
 
 
 class DoubleArray:
@@ -315,7 +315,7 @@ def with_pieces(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for b in c.chunks(batches, limit=2 << 20):
+        for b in c.chunks(batches, limit=1 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns, *_added(c.texts(b.column("text")), encoder)], names=[*b.schema.names, *names])
 
     return c.bounded(own).mapInArrow(run, T.StructType([*own.schema.fields, *T._parse_datatype_string(ADDED).fields]))
