@@ -14,8 +14,8 @@ def _kind(name: str) -> type[LanguageError]:
     return type(name, (LanguageError,), {})
 
 
-NAMES = ("Bind", "Chr", "Date", "Div", "Domain", "Empty", "Error", "Fail", "Match", "Option", "Overflow", "Size", "Subscript", "Time", "UnequalLengths", "Unordered")
-Bind, Chr, Date, Div, Domain, Empty, Error, Fail, Match, Option, Overflow, Size, Subscript, Time, UnequalLengths, Unordered = map(_kind, NAMES)
+NAMES = ("Bind", "Chr", "Constraint", "Date", "Div", "Domain", "Empty", "Error", "Fail", "Match", "Option", "Overflow", "Size", "Span", "Subscript", "Time", "UnequalLengths", "Unordered")
+Bind, Chr, Constraint, Date, Div, Domain, Empty, Error, Fail, Match, Option, Overflow, Size, Span, Subscript, Time, UnequalLengths, Unordered = map(_kind, NAMES)
 
 
 def fail(name: str) -> Column:

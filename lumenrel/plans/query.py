@@ -38,7 +38,16 @@ class Desc:
 
 
 def column(x: Any) -> Column:
-    return x if isinstance(x, Column) else F.array(*map(column, x)) if isinstance(x, (list, tuple)) else F.struct(*(column(v).alias(k) for k, v in sorted(x.items()))) if isinstance(x, Mapping) else F.lit(x)
+    """A value as an expression: a tuple has fields 1, 2, …, a query is the collection of its elements."""
+    if isinstance(x, Column):
+        return x
+    if isinstance(x, Query):
+        return x.array()
+    if isinstance(x, tuple):
+        return F.struct(*(column(v).alias(str(k + 1)) for k, v in enumerate(x)))
+    if isinstance(x, list):
+        return F.array(*map(column, x))
+    return F.struct(*(column(v).alias(k) for k, v in sorted(x.items()))) if isinstance(x, Mapping) else F.lit(x)
 
 
 @dataclass(frozen=True)
@@ -325,7 +334,7 @@ class Query:
             keyed = self.df.groupBy(*(v.alias(k) for k, v in by.items()))
             df = keyed.agg(*aggregates) if aggregates else keyed.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
         else:
-            df = self.df.groupBy().agg(*aggregates) if aggregates else self.df.groupBy().agg(F.lit(0).alias("__unit")).select()
+            df = self.df.select(*aggregates) if aggregates else self.df.groupBy().agg(F.lit(0).alias("__unit")).select()
         return Query(df, (*by, *made), False, order)
 
     def compute(self, **aggregates: Aggregate) -> Query:
@@ -450,6 +459,20 @@ class Query:
         rows = self.frame().collect()
         return [r[0] for r in rows] if self.atom and not isinstance(self.df.schema[self.names[0]].dataType, T.StructType) else rows
 
+    def array(self) -> Column:
+        """The elements as one collection, a scalar sub-query in an expression of another query; a list's are in its order."""
+        held = F.collect_list(F.struct(*self._hidden(), self.current.alias("__it")))
+
+        def before(a: Column, b: Column) -> Column:
+            out = F.lit(0)
+            for n, up in reversed(self.order_by or ()):
+                x, y = (a, b) if up else (b, a)
+                less = (x[n].isNull() & y[n].isNotNull()) | (x[n] < y[n])
+                more = (y[n].isNull() & x[n].isNotNull()) | (y[n] < x[n])
+                out = F.when(less, -1).when(more, 1).otherwise(out)
+            return out
+        return self.df.select(F.transform(F.array_sort(held, before) if self.order_by else held, lambda x: x["__it"]).alias("it")).scalar()
+
     def only(self) -> Any:
         rows = self.take(2).collect()
         if not rows:
@@ -504,7 +527,14 @@ def values(spark: SparkSession, items: Sequence[Any], schema: str | None = None,
 
 
 def _kind_of(items: Sequence[Any]) -> str:
-    return {bool: "boolean", int: "int", float: "double", str: "string"}.get(type(items[0]), "int") if items else "int"
+    first = next((x for x in items if x is not None and x != []), None)
+    if isinstance(first, list):
+        return f"array<{_kind_of([y for x in items for y in x or ()])}>"
+    if isinstance(first, tuple):
+        return "struct<" + ", ".join(f"`{k + 1}`: {_kind_of([x[k] for x in items if x is not None])}" for k in range(len(first))) + ">"
+    if isinstance(first, Mapping):
+        return "struct<" + ", ".join(f"`{k}`: {_kind_of([x[k] for x in items if x is not None])}" for k in sorted(first)) + ">"
+    return {bool: "boolean", int: "int", float: "double", str: "string"}.get(type(first), "array<int>" if items and items[0] == [] else "int")
 
 
 def range_(spark: SparkSession, low: int, high: int, ordered: bool = True) -> Query:

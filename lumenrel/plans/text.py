@@ -4,15 +4,22 @@
       group d.dname compute {n = count over (), pay = sum over e.sal}
       order DESC n take 3
 
-Supported: scans (`in`, `=`, several, lateral over a collection of a row), `join … on`, `left/right/full join`, `where`, `yield`, `yieldAll`,
-`group … compute`, `compute`, `distinct`, `order` with DESC, `skip`, `take`, `union`, `intersect`, `except` (each with `distinct`), `unorder`,
-`into`, `through`, `exists`, `forall … require`; expressions with the usual operators and precedence, `if`, `case` on literals,
-`let val … in … end`, `fn`, records (with `extend`, `replace`, `remove`, `rename`), tuples, lists and ranges, field access, `elem`, `notelem`, `implies`, nested
-queries under `exists`, and the functions of the library by `Structure.name`. Declarations `val` and `fun` bind names in a session.
+Supported: scans (`in`, `=`, several, lateral over a collection of a row, patterns that leave out rows which don't match), `join … on`,
+`left/right/full join`, `where`, `yield`, `yieldAll`, `group … compute`, `compute`, `distinct`, `order` with DESC, `skip`, `take`, `union`, `intersect`,
+`except` (each with `distinct`), `unorder`, `into`, `through`, `exists`, `forall … require`; expressions with the usual operators and precedence,
+`if`, `case` and `fn` over patterns, `let … in … end`, records (with `extend`, `replace`, `remove`, `rename`), tuples, lists and ranges, field
+access, `elem`, `notelem`, `implies`, `as`, `asOpt`, `raise`, `type_string`, `op +`, and the functions of the library by `Structure.name`.
+Declarations: `val`, `val rec`, `fun` with clauses and `and`, `type` (an alias, or checked), `datatype`, `over` and `val inst`; signatures and
+attributes are read and have no effect.
+
+A query inside an expression becomes a sub-query of Spark's, correlated where it names bindings of the row: a scalar one under an aggregate or
+as a collection, EXISTS under `exists`, `forall` and `elem`, a lateral join as a scan. A recursive function unfolds while the plan is made;
+over columns, whose depth is known only row by row, it needs types of its arguments and result and runs in Arrow batches.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -20,20 +27,25 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenrel.functions import library
 from lumenrel.plans import aggregates as A
+from lumenrel.plans import errors
 from lumenrel.plans.errors import Error, fail
+from lumenrel.plans.patterns import Constructor, Pattern, PatternParser, Type, choose, matched, type_text
 from lumenrel.plans.query import Desc, Query, bag, column, values
+from lumenrel.plans.types import Checked, Datatype, Overload
 
 _TOKEN = re.compile(
-    r"""\s+|\(\*.*?\*\)|(?P<real>~?\d+\.\d+(?:[eE]~?\d+)?|~?\d+[eE]~?\d+)|(?P<int>~?\d+)|(?P<char>\#"(?:[^"\\]|\\.)*")|(?P<string>"(?:[^"\\]|\\.)*")|(?P<label>\#[A-Za-z_]\w*)"""
-    r"""|(?P<word>[A-Za-z_][\w']*)|(?P<quoted>`[^`]+`)|(?P<mark>\.\.\^?|\^\.\.\^?|=>|<>|<=|>=|::|\?\.|[-+*/^@=<>(){}\[\],.|;~:!])""",
+    r"""\s+|\(\*.*?\*\)|\[@[^\]]*\]|(?P<real>~?\d+\.\d+(?:[eE]~?\d+)?|~?\d+[eE]~?\d+)|(?P<int>~?\d+)|(?P<char>\#"(?:[^"\\]|\\.)*")|(?P<string>"(?:[^"\\]|\\.)*")|(?P<label>\#(?:[A-Za-z_]\w*|\d+))"""
+    r"""|(?P<tyvar>'[A-Za-z]\w*)|(?P<word>[A-Za-z_][\w']*)|(?P<quoted>`[^`]+`)|(?P<mark>\.\.\.|\.\.\^?|\^\.\.\^?|=>|->|<>|<=|>=|::|\?\.|[-+*/^@=<>(){}\[\],.|;~:!])""",
     re.S,
 )
 KEYWORDS = set(
     "from in where yield yieldAll group compute distinct order skip take union intersect except unorder into through exists forall require join left right full on "
-    "andalso orelse not if then else case of let val fun end fn elem notelem implies div mod over and extend replace remove rename rec DESC".split()
+    "andalso orelse not if then else case of let val fun end fn elem notelem implies div mod over and extend replace remove rename rec DESC "
+    "as asOpt raise op datatype type typeof type_string signature inst".split()
 )
 _UNESCAPE = {"n": "\n", "t": "\t", "\\": "\\", '"': '"', "r": "\r"}
 
@@ -78,7 +90,7 @@ LEVELS = [["implies"], ["orelse"], ["andalso"], ["=", "<>", "<", "<=", ">", ">="
 AGGREGATES = {"count": A.count, "sum": A.sum_, "min": A.min_, "max": A.max_, "only": A.only, "elements": A.elements}
 
 
-class Parser:
+class Parser(PatternParser):
     def __init__(self, source: str) -> None:
         self.t, self.i = tokens(source), 0
 
@@ -114,10 +126,39 @@ class Parser:
             return self.conditional()
         if self.peek() == "case":
             return self.case()
-        if self.peek() == "fn":
+        if self.kind() == "key" and self.peek() == "fn":
             self.next()
-            return self.function([self.name()], "=>")
-        return self.binary(0)
+            return self.function("fn", "=>", clauses=True, single=True)
+        if self.kind() == "key" and self.peek() == "raise":
+            return self.raised()
+        e = self.binary(0)
+        while self.kind() == "key" and self.peek() in ("as", "asOpt") or self.kind() == "mark" and self.peek() == ":":
+            e = self.ascribed(e, self.next(), self.type_())
+        return e
+
+    @staticmethod
+    def ascribed(of: Made, how: str, kind: Callable[[Env], Type]) -> Made:
+        """e : t is e; e as t fails where a condition of t doesn't hold, e asOpt t is none there."""
+        def run(env):
+            checked = None if how == ":" else kind(env).checked
+            if checked is None:
+                return of(env)
+            return (checked.as_ if how == "as" else checked.as_opt)(column(of(env)))
+        return run
+
+    def raised(self) -> Made:
+        self.next("raise")
+        name = self.name()
+        said = self.atom() if self.kind() == "string" or self.peek() == "(" else None
+        if name not in errors.NAMES:
+            raise Error(f"unknown exception {name}")
+
+        def run(env):
+            message = said(env) if said else ""
+            c = fail(f"{name}: {message}" if message else name)
+            c.__dict__["raises"] = (name, message)
+            return c
+        return run
 
     def conditional(self) -> Made:
         self.next("if")
@@ -136,42 +177,36 @@ class Parser:
         self.next("case")
         subject = self.expression()
         self.next("of")
-        arms: list[tuple[Any, str | None, Made]] = []
+        arms: list[tuple[list[Pattern], Made]] = []
         while True:
-            if self.kind() == "word" and self.peek() in ("SOME", "NONE"):
-                kind = self.next()
-                bound = self.name() if kind == "SOME" else None
-                test = (lambda c: c.isNotNull()) if kind == "SOME" else (lambda c: c.isNull())
-            elif self.kind() == "word" and self.peek() not in ("true", "false"):
-                bound, test = self.name(), None
-            else:
-                literal = self.atom()
-                bound, test = None, (lambda lit: lambda c: c == column(lit({})))(literal)
+            p = self.pattern()
             self.next("=>")
-            arms.append((test, bound, self.expression()))
+            arms.append(([p], self.expression()))
             if not self.eat("|"):
                 break
+        return lambda env: choose(arms, [subject(env)], env)
 
-        def run(env):
-            c = column(subject(env))
-            chain = None
-            for test, bound, body in arms:
-                value = column(body({**env, bound: c} if bound and bound != "_" else env))
-                if test is None:
-                    return chain.otherwise(value) if chain is not None else value
-                chain = chain.when(test(c), value) if chain is not None else F.when(test(c), value)
-            return chain.otherwise(fail("Match"))
-        return run
-
-    def function(self, params: list[str], stop: str) -> Made:
-        self.next(stop)
-        body = self.expression()
-
-        def run(env):
-            def curried(left: list[str], bound: dict) -> Any:
-                return lambda x: curried(left[1:], {**bound, left[0]: x}) if len(left) > 1 else body({**env, **bound, left[0]: x})
-            return curried(params, {})
-        return run
+    def function(self, name: str, stop: str, *, clauses: bool, single: bool = False) -> Made:
+        """fn p => e | …, or the clauses of fun: f p1 p2 … = e | f …"""
+        arms: list[tuple[list[Pattern], Made]] = []
+        start, result = self.i, None
+        while True:
+            if not single and arms:
+                self.next(name)
+            ps = [self.pattern()] if single else [self.atomic_pattern()]
+            while not single and self.starts_pattern():
+                ps.append(self.atomic_pattern())
+            if not single and self.eat(":"):
+                result = self.type_()
+            self.next(stop)
+            arms.append((ps, self.expression()))
+            if not clauses or not self.eat("|"):
+                break
+        if len({len(ps) for ps, _ in arms}) > 1:
+            raise Error(f"clauses of {name} differ in their number of arguments")
+        words = [t.text for t in self.t[start : self.i] if t.kind == "word"]
+        used = frozenset(words) - ({name} if words.count(name) < len(arms) else set())
+        return lambda env: Function(name, tuple(arms), env, used, result)
 
     def binary(self, level: int) -> Made:
         if level == len(LEVELS):
@@ -196,14 +231,14 @@ class Parser:
     def unary(self) -> Made:
         if self.eat("not"):
             of = self.unary()
-            return lambda env: ~column(of(env)) if not isinstance(of(env), bool) else not of(env)
+            return lambda env: (lambda v: not v if isinstance(v, bool) else ~column(v))(of(env))
         if self.eat("~"):
             of = self.unary()
-            return lambda env: -column(of(env))
+            return lambda env: (lambda v: -v if isinstance(v, (int, float)) else -column(v))(of(env))
         return self.application()
 
     def starts_atom(self) -> bool:
-        return self.kind() in ("int", "real", "string", "char", "word", "label") or self.peek() in ("(", "[", "{", "let") and self.kind() in ("mark", "key")
+        return self.kind() in ("int", "real", "string", "char", "word", "label") or self.peek() in ("(", "[", "{", "let", "op") and self.kind() in ("mark", "key")
 
     def application(self) -> Made:
         f = self.postfix()
@@ -212,7 +247,7 @@ class Parser:
             return self.over(f, argument)
         while self.starts_atom():
             x = self.postfix()
-            f = (lambda f, x: lambda env: _apply(f(env), x(env)))(f, x)
+            f = (lambda f, x: lambda env: _apply(f(env), x(env), env))(f, x)
         return f
 
     @staticmethod
@@ -252,9 +287,17 @@ class Parser:
             return lambda env: lambda x: _field(x, text[1:])
         if text in ("from", "exists", "forall") and kind == "key":
             return self.query()
+        if text == "op" and kind == "key":
+            self.next()
+            sign = self.next()
+            return lambda env: Section(sign)
+        if text == "type_string" and kind == "key":
+            self.next()
+            e = self.postfix()
+            return lambda env: type_text(self.kind_of(e(env), env))
         if text == "let":
             return self.let()
-        if text in ("if", "case", "fn"):
+        if text in ("if", "case", "fn", "raise"):
             return self.expression()
         if text == "(":
             return self.parenthesis()
@@ -389,24 +432,128 @@ class Parser:
         return run
 
     def declaration(self) -> Callable[[Env], dict[str, Any]]:
-        if self.eat("fun"):
-            name, params = self.name(), []
-            while self.kind() == "word":
-                params.append(self.name())
-            f = self.function(params, "=")
-            return lambda env: {name: f(env)}
-        self.next("val")
+        word = self.next()
+        if word == "fun":
+            made = []
+            while True:
+                name = self.name()
+                made.append((name, self.function(name, "=", clauses=True)))
+                if not self.eat("and"):
+                    break
+            return lambda env: _together(made, env)
+        if word == "type":
+            return self.type_declaration()
+        if word == "datatype":
+            return self.datatype()
+        if word == "over":
+            name = self.name()
+            return lambda env: {name: Overload(name)}
+        if word == "signature":
+            while self.next() != "end":
+                pass
+            return lambda env: {}
+        if self.eat("inst"):
+            name = self.name()
+            self.next("=")
+            e = self.expression()
+
+            def add(env):
+                f = e(env)
+                env[name].instances[f.first_type(env)] = f
+                return {}
+            return add
+        recursive = self.eat("rec")
+        parts: list[tuple[Pattern, Made]] = []
+        names: list[str] = []
+        while True:
+            names.append(self.peek())
+            p = self.pattern()
+            self.next("=")
+            parts.append((p, self.expression()))
+            if not self.eat("and"):
+                break
+        if recursive:
+            return lambda env: _together([(n, e) for n, (_, e) in zip(names, parts, strict=True)], env)
+
+        def bind(env):
+            out: dict[str, Any] = {}
+            for p, e in parts:
+                test, bound = matched([p], [e(env)], env)
+                if test is False:
+                    raise errors.Bind
+                out |= bound if test is True else {k: F.when(test, column(v)).otherwise(fail("Bind")) for k, v in bound.items()}
+            return out
+        return bind
+
+    def type_declaration(self) -> Callable[[Env], dict[str, Any]]:
+        """type t = u, or type t = u check p => e, …; a checked type keeps the conditions of the one it is made from."""
         name = self.name()
         self.next("=")
-        e = self.expression()
-        return lambda env: {name: e(env)}
+        base = self.type_()
+        checks: list[tuple[Pattern, Made]] = []
+        if self.kind() == "word" and self.peek() == "check":
+            self.next()
+            while True:
+                p = self.pattern()
+                self.next("=>")
+                checks.append((p, self.expression()))
+                if not self.eat(","):
+                    break
+
+        def bind(env):
+            of = base(env)
+            if not checks:
+                return {f"type {name}": of}
+            tests = tuple((lambda p, e: lambda v: column(choose([([p], e)], [v], env)))(p, e) for p, e in checks)
+            checked = of.checked.refined(name, *tests) if of.checked else Checked(name, of.ddl, tests)
+            return {f"type {name}": Type(of.ddl, checked)}
+        return bind
+
+    def datatype(self) -> Callable[[Env], dict[str, Any]]:
+        made = []
+        while True:
+            if self.kind() == "tyvar":
+                raise Error("a datatype's payloads need types of columns, not variables")
+            name = self.name()
+            self.next("=")
+            constructors = []
+            while True:
+                constructor = self.name()
+                constructors.append((constructor, self.type_() if self.eat("of") else None))
+                if not self.eat("|"):
+                    break
+            made.append((name, constructors))
+            if not self.eat("and"):
+                break
+
+        def bind(env):
+            out: dict[str, Any] = {}
+            for name, constructors in made:
+                of = Datatype(name, {c: t({**env, **out}).ddl if t else None for c, t in constructors})
+                out |= {f"type {name}": Type(of.ddl)} | {c: Constructor(of, c) for c, _ in constructors}
+            return out
+        return bind
+
+    @staticmethod
+    def kind_of(v: Any, env: Env) -> T.DataType:
+        """The type of a value, told while the plan is made."""
+        if isinstance(v, Query):
+            return T.ArrayType(v.df.select(v.current.alias("v")).schema["v"].dataType)
+        over = env["$row"].df if isinstance(env.get("$row"), Query) else _session(env).range(1)
+        return over.select(column(v).alias("v")).schema["v"].dataType
 
     # -- queries
 
     def query(self) -> Made:
+        start = self.i
         how = self.next()
         steps: list[Callable[[Any, Env], Any]] = []
-        if self.kind() == "word":
+        if how == "exists" and self.peek() == "(" and self.peek(1) == "from":
+            self.next()
+            inner = self.query()
+            self.next(")")
+            return inner.as_(how)
+        if self.starts_pattern():
             steps.append(self.scan("inner", False))
             while self.eat(","):
                 steps.append(self.scan("inner", False))
@@ -415,24 +562,15 @@ class Parser:
             if step is None:
                 break
             steps.append(step)
+        require = None
         if how == "forall":
             self.next("require")
             require = self.expression()
-
-        def run(env):
-            q: Any = None
-            for step in steps:
-                q = step(q, env)
-            if how == "exists":
-                return q.exists()
-            if how == "forall":
-                return q.forall(_PerRow(require, env).signed(q))
-            return q
-        run.subquery = (how, steps, require if how == "forall" else None)
-        return run
+        return SubQuery(how, steps, require, frozenset(t.text for t in self.t[start : self.i] if t.kind == "word"))
 
     def scan(self, how: str, on_allowed: bool) -> Callable:
-        name = self.name()
+        simple = self.peek() if self.kind() == "word" and self.peek() != "_" and self.peek(1) in ("in", "=") else None
+        pattern = self.pattern()
         single = self.eat("=")
         if not single:
             self.next("in")
@@ -440,21 +578,44 @@ class Parser:
         on = self.expression() if on_allowed and self.eat("on") else None
 
         def run(q, env):
+            if simple and not isinstance(env.get(simple), Constructor):
+                return scanned(q, env, simple, on)
+            whole = f"__whole{len(q.names) if q is not None else 0}"
+            test, bound = matched([pattern], [F.col(whole)], env)
+            if test is False:
+                raise errors.Bind
+            condition = on and (lambda row: on({**row, **matched([pattern], [row[whole]], env)[1]}))
+            if how != "inner" and test is not True:
+                plain = condition
+                condition = lambda row: column(matched([pattern], [row[whole]], env)[0]) & (column(plain(row)) if plain else F.lit(True))
+            out = scanned(q, env, whole, condition)
+            if test is not True and how == "inner":
+                out = out.where(lambda **_: test)
+            kept = [n for n in out.names if n != whole and n not in bound]
+            df = out.df.select(*(f"`{n}`" for n in kept), *(column(v).alias(n) for n, v in bound.items()), *out._hidden())
+            names = (*kept, *bound)
+            return Query(df, names, q is None and len(names) == 1, out.order_by)
+
+        def scanned(q, env, name, on):
             here = {**env, **_row_of(q)} if q is not None else env
+            given = source(here)
             if single:
-                value = source(here)
                 if q is None:
-                    q = Query(_session(env).range(1).select(column(value).alias(name)), (name,), True, ())
-                    return q
-                return q.let(name, lambda: column(value))
-            given = source(here)
-            if isinstance(given, Column) or (isinstance(given, list) and q is not None and any(isinstance(x, Column) for x in given)):
+                    return Query(_session(env).range(1).select(_value(given).alias(name)), (name,), True, ())
+                return q.let(name, lambda: _value(given))
+            if isinstance(given, Column) or (isinstance(given, list) and q is not None and _has_columns(given)):
                 f = lambda: column(given)
+                if q is None:
+                    return Query(_session(env).range(1).select(F.lit(0).alias("__unit")), (), False, ()).yield_all(f, name=name)
                 return q.join(how, on=_PerRow(on, env).signed(q, name) if on else None, **{name: f})
+            correlated = isinstance(given, Query) and given.__dict__.get("correlated", False)
             given = _query(given, env)
             if q is None:
                 return given.bind(name)
-            return q.join(how, on=_PerRow(on, env).signed(q, name) if on else None, **{name: given})
+            condition = _PerRow(on, env).signed(q, name) if on else None
+            return _beside(q, given, name, how, condition) if correlated else q.join(how, on=condition, **{name: given})
+        if simple:
+            run.kind = "scan"
         return run
 
     def step(self) -> Callable | None:
@@ -492,7 +653,11 @@ class Parser:
             return self.group()
         if word == "compute":
             made = self.aggregates()
-            return lambda q, env: q.group(compute={k: v({**env, **_row_of(q)}) for k, v in made.items()})
+
+            def computed(q, env):
+                return q.group(compute={k: v({**env, **_row_of(q)}) for k, v in made.items()})
+            computed.kind = "compute"
+            return computed
         if word == "distinct":
             return lambda q, env: q.distinct()
         if word == "unorder":
@@ -512,11 +677,11 @@ class Parser:
             return lambda q, env: getattr(q, method)(*(_query(o(env), env) for o in others), distinct=distinct)
         if word == "into":
             f = self.expression()
-            return lambda q, env: _apply(f(env), q)
+            return lambda q, env: _apply(f(env), q, env)
         name = self.name()
         self.next("in")
         f = self.expression()
-        return lambda q, env: _query(_apply(f(env), q), env).bind(name)
+        return lambda q, env: _query(_apply(f(env), q, env), env).bind(name)
 
     def where(self) -> Callable:
         """A quantifier alone, plain or negated, in parentheses or not, is a semi or anti join; anything else a filter."""
@@ -540,13 +705,21 @@ class Parser:
                 self.next(")")
             if self.kind() == "end" or self.kind() == "key" and self.peek() not in ("andalso", "orelse", "implies") or self.peek() in (")", ",", "]", "}", ";"):
                 _, steps, require = sub.subquery
-                return lambda q, env: _quantified(q, (how, steps, require), negated, env)
+
+                def quantified(q, env):
+                    if [getattr(x, "kind", "") for x in steps] == ["scan", *["filter"] * (len(steps) - 1)]:
+                        return _quantified(q, (how, steps, require), negated, env)
+                    met = sub({**env, **_row_of(q)})
+                    return q.where(lambda **_: ~met if negated else met)
+                return quantified
         self.i = start
         e = self.expression()
 
         def run(q, env):
             value = _PerRow(e, env)
             return q.where(value.signed(q, "ordinal") if q.ordered and value.uses(q, "ordinal") else value.signed(q))
+        if not any(t.text in ("from", "exists", "forall") for t in self.t[start : self.i]):
+            run.kind = "filter"
         return run
 
     def group(self) -> Callable:
@@ -657,7 +830,7 @@ class _PerRow:
         import inspect
 
         def f(**row):
-            return self.e({**self.env, **row})
+            return self.e({**self.env, **row, "$row": q})
         f.__signature__ = inspect.Signature([inspect.Parameter(n, inspect.Parameter.KEYWORD_ONLY) for n in (*q.names, *more)])
         return f
 
@@ -666,7 +839,7 @@ class _PerRow:
 
 
 def _row_of(q: Query) -> dict[str, Any]:
-    return {n: F.col(f"`{n}`") for n in q.names} | {"current": q.current}
+    return {n: F.col(f"`{n}`") for n in q.names} | {"current": q.current, "$row": q}
 
 
 def _session(env: Env) -> SparkSession:
@@ -677,7 +850,7 @@ def _yield(q: Query, e: _PerRow) -> Query:
     if q.ordered and e.uses(q, "ordinal"):
         q = q.with_ordinal("ordinal")
     made = e.e({**e.env, **_row_of(q)})
-    if isinstance(made, Mapping):
+    if isinstance(made, Mapping) and made:
         return q.yield_({k: (lambda v: lambda: column(v))(v) for k, v in made.items()})
     return q.yield_(lambda: column(made))
 
@@ -688,7 +861,11 @@ def _query(x: Any, env: Env) -> Query:
     if isinstance(x, DataFrame):
         return bag(x)
     if isinstance(x, list):
+        if _has_columns(x):
+            return Query(_session(env).range(1).select(F.lit(0).alias("__unit")), (), False, ()).yield_all(lambda: column(x))
         return values(_session(env), x)
+    if isinstance(x, Column):
+        return Query(_session(env).range(1).select(F.lit(0).alias("__unit")), (), False, ()).yield_all(lambda: x)
     raise Error("not a collection")
 
 
@@ -760,13 +937,14 @@ def _field(x: Any, name: str) -> Any:
 
 def _lookup(env: Env, name: str) -> Any:
     if name in env:
-        return env[name]
+        found = env[name]
+        return found.of.make(name) if isinstance(found, Constructor) and found.payload is None else found
     if name in ("true", "false"):
         return name == "true"
     if name == "NONE":
         return F.lit(None)
     if name == "SOME":
-        return lambda x: x
+        return _some
     if name in AGGREGATES:
         return Over(AGGREGATES[name])
     if name in library:
@@ -774,13 +952,26 @@ def _lookup(env: Env, name: str) -> Any:
     raise Error(f"unknown name {name}")
 
 
-def _apply(f: Any, x: Any) -> Any:
+def _apply(f: Any, x: Any, env: Env) -> Any:
+    inside = "$row" in env or "$nested" in env
     if isinstance(f, Over):
         if isinstance(x, Query):
-            return f.make(lambda: column(x.current)).over(x)
-        return _apply(library["Relational"][{A.sum_: "sum"}.get(f.make, f.make.__name__.strip("_"))], x)
+            whole = x.df.select(f.make(lambda: column(x.current)).over(x).alias("it"))
+            return whole.scalar() if inside else whole.collect()[0][0]
+        return _apply(library["Relational"][{A.sum_: "sum"}.get(f.make, f.make.__name__.strip("_"))], x, env)
+    if isinstance(f, Overload):
+        kind = Parser.kind_of(x, env).simpleString()
+        if kind not in f.instances:
+            raise Error(f"no instance of {f.name} for {kind}")
+        f = f.instances[kind]
     if not callable(f):
         raise Error("not a function")
+    if isinstance(f, Section) and isinstance(x, tuple):
+        return f(*x)
+    if isinstance(f, (Function, Constructor)) or f is _some:
+        return f(x)
+    if isinstance(x, Query) and inside:
+        return f(column(x))
     if isinstance(x, tuple):
         try:
             return f(*(_host(v) for v in x))
@@ -789,14 +980,172 @@ def _apply(f: Any, x: Any) -> Any:
     return f(_host(x))
 
 
+def _some(x: Any) -> Any:
+    return x
+
+
+@dataclass(frozen=True)
+class Section:
+    """op +: an operator as a function of a pair."""
+
+    sign: str
+
+    def __call__(self, a: Any, b: Any) -> Any:
+        return _operate(self.sign, a, b)
+
+
+class Function:
+    """fn or fun: clauses over patterns, one argument after the other."""
+
+    def __init__(self, name: str, arms: tuple, env: Env, used: frozenset[str], result: Callable[[Env], Type] | None = None, given: tuple = ()) -> None:
+        self.name, self.arms, self.env, self.used, self.result, self.given = name, arms, env, used, result, given
+        self.recursive = False
+
+    def __getstate__(self) -> dict[str, Any]:
+        """What a worker needs: the names that the body reads, without the session and relations."""
+        kept = {k: v for k, v in self.env.items() if k in self.used and isinstance(v, (Function, int, float, str, list, tuple))}
+        return {**self.__dict__, "env": kept, "result": None}
+
+    def first_type(self, env: Env) -> str:
+        kind = getattr(self.arms[0][0][0], "type", None)
+        if kind is None:
+            raise Error("an instance needs the type of its argument")
+        return T._parse_datatype_string(kind(env).ddl).simpleString()
+
+    def __call__(self, *xs: Any) -> Any:
+        arity = len(self.arms[0][0])
+        given = (*self.given, *((xs,) if len(xs) > 1 and arity == 1 else xs))
+        if len(given) < arity:
+            more = Function(self.name, self.arms, self.env, self.used, self.result, given)
+            more.recursive = self.recursive
+            return more
+        over_rows = _has_columns(given)
+        if over_rows and self.recursive and self.result:
+            ddl = self.result(self.env).ddl
+            return F.udf(self.by_row, ddl, useArrow=True)(*(column(x) for x in given))
+        env = {**self.env, "$row": True} if over_rows and "$row" not in self.env else self.env
+        try:
+            return choose(self.arms, list(given), env)
+        except RecursionError:
+            raise Error(f"{self.name} doesn't end while the plan is made; over columns a recursive function needs the type of its result") from None
+
+    def by_row(self, *xs: Any) -> Any:
+        """The function on one row's values; null for null."""
+        return None if any(x is None for x in xs) else choose(self.arms, list(xs), self.env)
+
+
+class SubQuery:
+    """from, exists or forall: a query of its own, or inside an expression of a row a sub-query of Spark's."""
+
+    def __init__(self, how: str, steps: list[Callable], require: Made | None, used: frozenset[str]) -> None:
+        self.how, self.steps, self.require, self.used = how, steps, require, used
+
+    @property
+    def subquery(self) -> tuple:
+        return self.how, self.steps, self.require
+
+    def as_(self, how: str) -> SubQuery:
+        return SubQuery(how, self.steps, self.require, self.used)
+
+    def __call__(self, env: Env) -> Any:
+        nested = "$row" in env
+        correlated = nested and any(_has_columns(env.get(w)) for w in self.used)
+        inner = {k: _outer(v) if correlated and k in self.used else v for k, v in env.items() if k != "$row"}
+        if nested:
+            inner["$nested"] = True
+        q: Any = None if self.steps else Query(_session(env).range(1).select(), ())
+        for step in self.steps:
+            q = step(q, inner)
+        if self.how == "exists":
+            return q.df.exists() if nested else q.exists()
+        if self.how == "forall":
+            broken = q.where(lambda **_: ~F.coalesce(column(self.require({**inner, **_row_of(q)})), F.lit(False)))
+            return ~broken.df.exists() if nested else not broken.exists()
+        if not isinstance(q, Query):
+            return q
+        if nested and self.steps and getattr(self.steps[-1], "kind", "") == "compute":
+            return q.df.select((F.col(f"`{q.names[0]}`") if len(q.names) == 1 else q.current).alias("it")).scalar()
+        q.__dict__["correlated"] = correlated
+        return q
+
+
+def _has_columns(x: Any) -> bool:
+    if isinstance(x, Mapping):
+        return any(map(_has_columns, x.values()))
+    return any(map(_has_columns, x)) if isinstance(x, (list, tuple)) else isinstance(x, Column)
+
+
+def _outer(x: Any) -> Any:
+    """Columns of the enclosing row, as a sub-query names them."""
+    if isinstance(x, Mapping):
+        return {k: _outer(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return type(x)(map(_outer, x))
+    return x.outer() if isinstance(x, Column) else x
+
+
+def _beside(q: Query, sub: Query, name: str, how: str, on: Callable | None) -> Query:
+    """A scan of a sub-query that names bindings of the row: a lateral join, which Spark turns into a plain one where it can."""
+    if how not in ("inner", "left"):
+        raise Error(f"{how} join needs an independent source")
+    right = sub.bind(name)
+    condition = column(on(**{n: F.col(f"`{n}`") for n in (*q.names, name)})) if on else None
+    ordered = q.ordered and right.ordered
+    if not ordered:
+        q, right = q.unorder(), Query(right.df.select(f"`{name}`"), (name,), True, None)
+    df = q.df.lateralJoin(right.df, condition, how)
+    return Query(df, (*q.names, name), False, (*q.order_by, *right.order_by) if ordered else None)
+
+
+def _value(x: Any) -> Column:
+    return column(x)
+
+
+def _together(made: list[tuple[str, Made]], env: Env) -> dict[str, Any]:
+    """Functions that may call themselves and each other."""
+    shared, out = dict(env), {}
+    group = {name for name, _ in made}
+    for name, make in made:
+        f = make(shared)
+        if isinstance(f, Function):
+            f.name, f.recursive = name, bool(group & f.used)
+        out[name] = shared[name] = f
+    return out
+
+
 def _host(x: Any) -> Any:
     return F.lit(x) if isinstance(x, (int, float, str, bool)) else column(x) if isinstance(x, list) else x
 
 
+_SIMPLE: dict[str, Callable[[Any, Any], Any]] = {
+    "=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
+    "+": operator.add, "-": operator.sub, "*": operator.mul, "div": operator.floordiv, "mod": operator.mod, "/": operator.truediv,
+    "^": operator.add, "andalso": lambda a, b: a and b, "orelse": lambda a, b: a or b, "implies": lambda a, b: not a or b,
+}
+
+
+def _known(op: str, a: Any, b: Any) -> Any:
+    """An operator on values that are known while the plan is made."""
+    if op in ("div", "mod") and b == 0:
+        raise errors.Div
+    if op == "/" and b == 0:
+        return float("nan") if a == 0 or a != a else float("inf") if a > 0 else float("-inf")
+    out = _SIMPLE[op](a, b)
+    if type(out) is int and not -(1 << 31) <= out < 1 << 31:
+        raise errors.Overflow
+    return out
+
+
 def _operate(op: str, a: Any, b: Any) -> Any:
+    known = (bool, int, float, str)
+    if op in _SIMPLE and isinstance(a, known) and isinstance(b, known):
+        return _known(op, a, b)
     if op in ("elem", "notelem"):
         if isinstance(b, Query):
-            raise Error("elem over a query is a step: use where x elem q alone")
+            sought = column(_outer(a))
+            among = b.unorder().bind("__m").df.where(F.col("__m").eqNullSafe(sought))
+            found = among.exists() if _has_columns(a) else not among.isEmpty()
+            return (not found if isinstance(found, bool) else ~found) if op == "notelem" else found
         found = column(a).isin(*b) if isinstance(b, list) and not any(isinstance(x, Column) for x in b) else F.array_contains(column(b), column(a))
         return found if op == "elem" else ~found
     if op == "andalso":
@@ -805,8 +1154,10 @@ def _operate(op: str, a: Any, b: Any) -> Any:
         return column(a) | column(b)
     if op == "implies":
         return ~column(a) | column(b)
-    if isinstance(a, (int, float)) and isinstance(b, (int, float)) and op in ("+", "-", "*"):
-        return {"+": a + b, "-": a - b, "*": a * b}[op]
+    if isinstance(a, list) and op == "@" and isinstance(b, list):
+        return a + b
+    if isinstance(b, list) and op == "::":
+        return [a, *b]
     a, b = column(a), column(b)
     if op in ("div", "mod"):
         return library["Int"][op](a, b)
@@ -831,10 +1182,13 @@ class Session:
         p = Parser(source)
         result: Any = None
         while p.i < len(p.t):
-            if p.peek() in ("val", "fun") and p.kind() == "key":
+            if p.peek() in ("val", "fun", "type", "datatype", "over", "signature") and p.kind() == "key":
                 self.env |= p.declaration()(self.env)
             else:
                 result = p.expression()(self.env)
+                if isinstance(result, Column) and "raises" in result.__dict__:
+                    name, message = result.__dict__["raises"]
+                    raise getattr(errors, name)(message)
                 self.env["it"] = result
             if p.i < len(p.t):
                 p.next(";")
