@@ -439,6 +439,54 @@ text_query(
     "text_set_operations", "from k in (from c in customer yield c.c_nationkey) except distinct (from s in supplier where s.s_acctbal > 5000.0 yield s.s_nationkey) yield {k}",
     "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", "customer", "supplier",
 )
+text_query(
+    "text_correlated_scalar", "from n in nation yield {n.n_name, suppliers = count (from s in supplier where s.s_nationkey = n.n_nationkey), best = from s in supplier where s.s_nationkey = n.n_nationkey andalso s.s_acctbal > 0.0 compute sum over Real.floor s.s_acctbal}",
+    "SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, coalesce((SELECT sum(floor(s_acctbal)::INT) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 0), 0)::BIGINT AS best FROM nation", "nation", "supplier",
+)
+text_query(
+    "text_correlated_scan", "from n in nation, c in (from c in customer where c.c_nationkey = n.n_nationkey order (DESC c.c_acctbal, c.c_custkey) take 2) yield {n.n_name, c.c_custkey}",
+    "SELECT n_name, c_custkey FROM (SELECT n_name, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE r <= 2", "nation", "customer",
+)
+text_query(
+    "text_elem_query", "from c in customer where c.c_acctbal > 9500.0 orelse c.c_nationkey elem (from s in supplier where s.s_acctbal > 9000.0 yield s.s_nationkey) yield {c.c_custkey}",
+    "SELECT c_custkey FROM customer WHERE c_acctbal > 9500 OR c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)", "customer", "supplier",
+)
+text_query(
+    "text_exists_in_expression", "from c in customer yield {c.c_custkey, large = if exists (from o in orders where o.o_custkey = c.c_custkey andalso o.o_totalprice > 300000.0) then 1 else 0}",
+    "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN 1 ELSE 0 END AS large FROM customer", "customer", "orders",
+)
+text_query(
+    "text_scan_pattern", "from {l_returnflag = \"R\", l_linenumber = 1, l_orderkey, l_quantity = q, ...} in lineitem where q > 45.0 yield {l_orderkey, q}",
+    "SELECT l_orderkey, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 45", "lineitem",
+)
+text_query(
+    "text_case_patterns", "from p in part yield {p.p_partkey, kind = case (p.p_size mod 3, p.p_size > 25) of (0, true) => 10 | (0, _) => 11 | (r, true) => r * 100 | (1, false) => 1 | _ => 0}",
+    "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size > 25 THEN 10 WHEN p_size % 3 = 0 THEN 11 WHEN p_size > 25 THEN p_size % 3 * 100 WHEN p_size % 3 = 1 THEN 1 ELSE 0 END AS kind FROM part", "part",
+)
+text_query(
+    "text_list_patterns", "from p in part yield {p.p_partkey, v = case List.tabulate (p.p_size mod 4, fn i => i + 5) of [] => 0 | [x] => x | x :: y :: rest => x * 10 + y + List.length rest}",
+    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 56 ELSE 57 END AS v FROM part", "part",
+)
+text_query(
+    "text_datatype", "datatype size = SMALL of int | PRICED of real | PLAIN; from p in part yield {k = p.p_partkey, x = if p.p_size < 10 then SMALL p.p_size else if p.p_size < 30 then PRICED p.p_retailprice else PLAIN} yield {k, v = case x of SMALL 1 => ~1.0 | SMALL n => Real.fromInt n | PRICED r => r | PLAIN => 0.0}",
+    "SELECT p_partkey AS k, CASE WHEN p_size = 1 THEN -1.0::DOUBLE WHEN p_size < 10 THEN p_size::DOUBLE WHEN p_size < 30 THEN p_retailprice ELSE 0.0::DOUBLE END AS v FROM part", "part",
+)
+text_query(
+    "text_checked_type", "type positive = real check x => x >= 0.0; type modest = positive check x => x < 5000.0; from c in customer yield {c.c_custkey, v = c.c_acctbal asOpt modest}",
+    "SELECT c_custkey, CASE WHEN c_acctbal >= 0 AND c_acctbal < 5000 THEN c_acctbal END AS v FROM customer", "customer",
+)
+text_query(
+    "text_overload", "over weigh; val inst weigh = fn (n : int) => n * 2; val inst weigh = fn (s : string) => String.size s; from c in customer yield {c.c_custkey, a = weigh c.c_mktsegment, b = weigh (String.size c.c_mktsegment)}",
+    "SELECT c_custkey, length(c_mktsegment)::INT AS a, (length(c_mktsegment) * 2)::INT AS b FROM customer", "customer",
+)
+text_query(
+    "text_clausal_recursion", "fun power (_, 0) = 1 | power (b, n) = b * power (b, n - 1); from p in part where p.p_size < 20 yield {p.p_partkey, cube = power (p.p_size, 3)}",
+    "SELECT p_partkey, p_size * p_size * p_size AS cube FROM part WHERE p_size < 20", "part",
+)
+text_query(
+    "text_recursion_by_row", "fun digits (n : int) : int = if n < 10 then n else n mod 10 + digits (n div 10); from s in supplier yield {s.s_suppkey, d = digits (Real.floor (s.s_suppkey * 1.0))}",
+    "SELECT s_suppkey, list_sum(list_transform(string_split(s_suppkey::VARCHAR, ''), lambda x: x::INT))::INT AS d FROM supplier", "supplier",
+)
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS positive FROM customer")

@@ -19,6 +19,7 @@ over columns, whose depth is known only row by row, it needs types of its argume
 
 from __future__ import annotations
 
+import inspect
 import operator
 import re
 from collections.abc import Callable, Mapping
@@ -827,8 +828,6 @@ class _PerRow:
 
     def signed(self, q: Query, *more: str) -> Callable:
         """A function with the row's bindings as parameters."""
-        import inspect
-
         def f(**row):
             return self.e({**self.env, **row, "$row": q})
         f.__signature__ = inspect.Signature([inspect.Parameter(n, inspect.Parameter.KEYWORD_ONLY) for n in (*q.names, *more)])
@@ -884,8 +883,6 @@ def _quantified(q: Query, sub: tuple, negated: bool, env: Env) -> Query:
         if probe.condition is None:
             raise Error("only where steps may follow the scan of a correlated quantifier")
         conditions.append(probe.condition)
-    import inspect
-
     def on(**row):
         out = None
         for c in conditions:
@@ -1000,6 +997,8 @@ class Function:
     def __init__(self, name: str, arms: tuple, env: Env, used: frozenset[str], result: Callable[[Env], Type] | None = None, given: tuple = ()) -> None:
         self.name, self.arms, self.env, self.used, self.result, self.given = name, arms, env, used, result, given
         self.recursive = False
+        self.__name__ = name
+        self.__signature__ = inspect.Signature([inspect.Parameter("x", inspect.Parameter.POSITIONAL_OR_KEYWORD)])  # as lambdas of columns ask
 
     def __getstate__(self) -> dict[str, Any]:
         """What a worker needs: the names that the body reads, without the session and relations."""
