@@ -487,6 +487,14 @@ text_query(
     "text_recursion_by_row", "fun digits (n : int) : int = if n < 10 then n else n mod 10 + digits (n div 10); from s in supplier yield {s.s_suppkey, d = digits (Real.floor (s.s_suppkey * 1.0))}",
     "SELECT s_suppkey, list_sum(list_transform(string_split(s_suppkey::VARCHAR, ''), lambda x: x::INT))::INT AS d FROM supplier", "supplier",
 )
+text_query(
+    "text_scan_without_source", "from x, y where x >= 1 andalso x < 40 andalso y = x * x where y mod 3 = 1 yield {x, y}",
+    "SELECT x::INT AS x, (x * x)::INT AS y FROM range(1, 40) t(x) WHERE x * x % 3 = 1", "region",
+)
+text_query(
+    "text_recursive_predicate", "fun step (a, b) = (a, b) elem (from n in nation yield {n.n_nationkey, n.n_regionkey}); fun path (a, b) = step (a, b) orelse (exists c where path (a, c) andalso step (c, b)); from a, b where path (a, b)",
+    "WITH RECURSIVE path(a, b) AS (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT a, n_regionkey FROM path JOIN nation ON n_nationkey = b) SELECT a, b FROM path", "nation",
+)
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS positive FROM customer")

@@ -8,7 +8,7 @@ for at most ROUNDS rounds first. Values come distinct and in natural order. A va
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from fractions import Fraction
 from math import ceil, floor
@@ -62,6 +62,14 @@ class Arith(Node):
     right: Node
 
 
+@dataclass(frozen=True, eq=False)
+class Applied(Node):
+    """A function of columns; it filters and gives points, but yields no bounds."""
+
+    f: Callable[..., Column]
+    terms: tuple
+
+
 @dataclass(frozen=True, eq=False)
 class Cmp(Node):
     op: str
@@ -127,6 +135,8 @@ def conjuncts(n: Node) -> list[Node]:
 def names(n: Node) -> set[str]:
     if isinstance(n, Variable):
         return {n.name}
+    if isinstance(n, Applied):
+        return set().union(*map(names, n.terms))
     if isinstance(n, (Arith, Cmp)):
         return names(n.left) | names(n.right)
     if isinstance(n, (And, Or)):
@@ -148,6 +158,8 @@ def expression(n: Node) -> Column:
         return F.col(f"`{n.name}`")
     if isinstance(n, Value):
         return F.lit(n.value)
+    if isinstance(n, Applied):
+        return n.f(*map(expression, n.terms))
     if isinstance(n, Arith):
         a, b = expression(n.left), expression(n.right)
         return a + b if n.op == "+" else a - b if n.op == "-" else a * b

@@ -12,6 +12,8 @@ access, `elem`, `notelem`, `implies`, `as`, `asOpt`, `raise`, `type_string`, `op
 Declarations: `val`, `val rec`, `fun` with clauses and `and`, `type` (an alias, or checked), `datatype`, `over` and `val inst`; signatures and
 attributes are read and have no effect.
 
+Scans without a source take their values from the conditions after them (`plans/invert.py`); a recursive predicate there is a fix-point.
+
 A query inside an expression becomes a sub-query of Spark's, correlated where it names bindings of the row: a scalar one under an aggregate or
 as a collection, EXISTS under `exists`, `forall` and `elem`, a lateral join as a scan. A recursive function unfolds while the plan is made;
 over columns, whose depth is known only row by row, it needs types of its arguments and result and runs in Arrow batches.
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenrel.functions import library
+from lumenrel.operators.fixpoint import iterate
 from lumenrel.plans import aggregates as A
-from lumenrel.plans import errors
+from lumenrel.plans import errors, invert
 from lumenrel.plans.errors import Error, fail
 from lumenrel.plans.patterns import Constructor, Pattern, PatternParser, Type, choose, matched, type_text
 from lumenrel.plans.query import Desc, Query, bag, column, values
@@ -232,7 +235,7 @@ class Parser(PatternParser):
     def unary(self) -> Made:
         if self.eat("not"):
             of = self.unary()
-            return lambda env: (lambda v: not v if isinstance(v, bool) else ~column(v))(of(env))
+            return lambda env: _negated(of(env))
         if self.eat("~"):
             of = self.unary()
             return lambda env: (lambda v: -v if isinstance(v, (int, float)) else -column(v))(of(env))
@@ -571,7 +574,10 @@ class Parser(PatternParser):
 
     def scan(self, how: str, on_allowed: bool) -> Callable:
         simple = self.peek() if self.kind() == "word" and self.peek() != "_" and self.peek(1) in ("in", "=") else None
+        first = self.peek()
         pattern = self.pattern()
+        if self.peek() not in ("in", "=") and first.isidentifier():
+            return self.extent(first, getattr(pattern, "type", None))
         single = self.eat("=")
         if not single:
             self.next("in")
@@ -619,6 +625,17 @@ class Parser(PatternParser):
             run.kind = "scan"
         return run
 
+    @staticmethod
+    def extent(name: str, kind: Callable[[Env], Type] | None) -> Callable:
+        """A scan without a source: its values are those that the conditions after it allow."""
+        def run(q, env):
+            raise Error(f"{name} has no source; only scans without one may stand beside it, with where right after them")
+
+        def variable(env):
+            return invert.var(name, {"boolean": "bool"}.get(ddl := kind(env).ddl, ddl) if kind else "int")
+        run.kind, run.variable = "extent", variable
+        return run
+
     def step(self) -> Callable | None:
         word = self.peek()
         if word in ("join", "left", "right", "full"):
@@ -712,6 +729,7 @@ class Parser(PatternParser):
                         return _quantified(q, (how, steps, require), negated, env)
                     met = sub({**env, **_row_of(q)})
                     return q.where(lambda **_: ~met if negated else met)
+                quantified.condition = lambda env: _negated(sub(env)) if negated else sub(env)
                 return quantified
         self.i = start
         e = self.expression()
@@ -721,6 +739,7 @@ class Parser(PatternParser):
             return q.where(value.signed(q, "ordinal") if q.ordered and value.uses(q, "ordinal") else value.signed(q))
         if not any(t.text in ("from", "exists", "forall") for t in self.t[start : self.i]):
             run.kind = "filter"
+        run.condition = e
         return run
 
     def group(self) -> Callable:
@@ -963,6 +982,10 @@ def _apply(f: Any, x: Any, env: Env) -> Any:
         f = f.instances[kind]
     if not callable(f):
         raise Error("not a function")
+    if _mentions(x) and f is library["String"]["isPrefix"]:
+        return invert.node(x[0]).prefix_of(x[1])
+    if _mentions(x) and not isinstance(f, (Function, Constructor, Section)) and callable(f) and f is not _some:
+        return invert.Applied(f, tuple(map(invert.node, x if isinstance(x, tuple) else (x,))))
     if isinstance(f, Section) and isinstance(x, tuple):
         return f(*x)
     if isinstance(f, (Function, Constructor)) or f is _some:
@@ -997,13 +1020,15 @@ class Function:
     def __init__(self, name: str, arms: tuple, env: Env, used: frozenset[str], result: Callable[[Env], Type] | None = None, given: tuple = ()) -> None:
         self.name, self.arms, self.env, self.used, self.result, self.given = name, arms, env, used, result, given
         self.recursive = False
+        self.known: Any = None
+        self.relation: Query | None = None
         self.__name__ = name
         self.__signature__ = inspect.Signature([inspect.Parameter("x", inspect.Parameter.POSITIONAL_OR_KEYWORD)])  # as lambdas of columns ask
 
     def __getstate__(self) -> dict[str, Any]:
         """What a worker needs: the names that the body reads, without the session and relations."""
         kept = {k: v for k, v in self.env.items() if k in self.used and isinstance(v, (Function, int, float, str, list, tuple))}
-        return {**self.__dict__, "env": kept, "result": None}
+        return {**self.__dict__, "env": kept, "result": None, "relation": None}
 
     def first_type(self, env: Env) -> str:
         kind = getattr(self.arms[0][0][0], "type", None)
@@ -1018,6 +1043,9 @@ class Function:
             more = Function(self.name, self.arms, self.env, self.used, self.result, given)
             more.recursive = self.recursive
             return more
+        terms = given[0] if len(given) == 1 and isinstance(given[0], tuple) else given
+        if self.recursive and _mentions(given) and all(isinstance(x, (invert.Node, int, float, str)) for x in terms):
+            return self.as_relation(terms)
         over_rows = _has_columns(given)
         if over_rows and self.recursive and self.result:
             ddl = self.result(self.env).ddl
@@ -1028,6 +1056,25 @@ class Function:
         except RecursionError:
             raise Error(f"{self.name} doesn't end while the plan is made; over columns a recursive function needs the type of its result") from None
 
+    def as_relation(self, terms: tuple) -> Any:
+        """A recursive predicate over variables without a source: the least relation that its body allows, from nothing up."""
+        if self.known is False:
+            return False
+        if self.known is None:
+            variables = [invert.var(f"a{k + 1}", x.kind if isinstance(x, invert.Variable) else T._infer_type(x).simpleString()) for k, x in enumerate(terms)]
+            given = [tuple(variables)] if len(self.arms[0][0]) == 1 and len(terms) > 1 else variables
+
+            def found(known: Any) -> Query:
+                self.known = known
+                try:
+                    body = choose(self.arms, given, self.env)
+                finally:
+                    self.known = None
+                return Query(invert.rows(_session(self.env), variables, invert.node(body)), tuple(v.name for v in variables), len(variables) == 1)
+            self.relation = self.relation or iterate(found(False), lambda every, _: found(every))
+            return invert.member(terms, self.relation)
+        return invert.member(terms, self.known)
+
     def by_row(self, *xs: Any) -> Any:
         """The function on one row's values; null for null."""
         return None if any(x is None for x in xs) else choose(self.arms, list(xs), self.env)
@@ -1047,6 +1094,8 @@ class SubQuery:
         return SubQuery(how, self.steps, self.require, self.used)
 
     def __call__(self, env: Env) -> Any:
+        if self.steps and getattr(self.steps[0], "kind", "") == "extent":
+            return self.solved(env)
         nested = "$row" in env
         correlated = nested and any(_has_columns(env.get(w)) for w in self.used)
         inner = {k: _outer(v) if correlated and k in self.used else v for k, v in env.items() if k != "$row"}
@@ -1068,6 +1117,58 @@ class SubQuery:
         return q
 
 
+    def solved(self, env: Env) -> Any:
+        """Scans without a source, with the conditions right after them; under a condition of another such query, a part of that."""
+        among = [x for x in self.steps if getattr(x, "kind", "") == "extent"]
+        rest = self.steps[len(among) :]
+        conditions: list[Callable] = []
+        while rest and hasattr(rest[0], "condition"):
+            conditions.append(rest.pop(0).condition)
+        variables = [x.variable(env) for x in among]
+        here = {k: v for k, v in env.items() if k != "$row"} | {v.name: v for v in variables}
+        whole: Any = True
+        for c in conditions:
+            whole = _operate("andalso", whole, c(here))
+        if self.how == "exists" and any(isinstance(env.get(w), invert.Node) for w in self.used):
+            return invert.exists(*variables, where=whole) if isinstance(whole, invert.Node) else whole
+        q = invert.solve(_session(env), *variables, where=invert.node(whole))
+        return SubQuery(self.how, [lambda _, env: q, *rest], self.require, self.used)(env)
+
+
+def _negated(v: Any) -> Any:
+    return not v if isinstance(v, bool) else ~(v if isinstance(v, invert.Node) else column(v))
+
+
+def _mentions(x: Any) -> bool:
+    """Whether a value names a variable without a source."""
+    return any(map(_mentions, x)) if isinstance(x, (list, tuple)) else isinstance(x, invert.Node)
+
+
+def _condition(op: str, a: Any, b: Any) -> Any:
+    """An operator over variables without a source."""
+    if op in ("andalso", "orelse"):
+        for x, y in ((a, b), (b, a)):
+            if isinstance(x, bool):
+                return y if x == (op == "andalso") else x
+        return (a & b) if op == "andalso" else (a | b)
+    if op == "implies":
+        return _condition("orelse", _negated(a), b)
+    if op in ("elem", "notelem"):
+        terms = a if isinstance(a, tuple) else (a,)
+        if isinstance(b, Query):
+            found = invert.member(terms, b)
+        else:
+            pairs = [x if isinstance(x, tuple) else (x,) for x in b]
+            found = invert.Or(tuple(invert.And(tuple(invert.node(t).eq(v) for t, v in zip(terms, p, strict=True))) for p in pairs))
+        return found if op == "elem" else ~found
+    a, b = invert.node(a), invert.node(b)
+    if op == "=":
+        return a.eq(b)
+    if op == "<>":
+        return a.ne(b)
+    return _SIMPLE[op](a, b) if op in ("<", "<=", ">", ">=", "+", "-", "*") else invert.Applied(lambda x, y: _operate(op, x, y), (a, b))
+
+
 def _has_columns(x: Any) -> bool:
     if isinstance(x, Mapping):
         return any(map(_has_columns, x.values()))
@@ -1136,6 +1237,8 @@ def _known(op: str, a: Any, b: Any) -> Any:
 
 
 def _operate(op: str, a: Any, b: Any) -> Any:
+    if _mentions(a) or _mentions(b):
+        return _condition(op, a, b)
     known = (bool, int, float, str)
     if op in _SIMPLE and isinstance(a, known) and isinstance(b, known):
         return _known(op, a, b)

@@ -99,3 +99,18 @@ def test_sub_queries(session):
     assert result(session, "count emps") == 14
     assert result(session, "from i in [4, 5] into sum") == 9
     assert sorted(result(session, "from e in emps where e.sal = (from f in emps compute max over f.sal) yield e.ename")) == ["KING"]
+
+
+def test_scans_without_a_source(session):
+    run = lambda s: [tuple(r) if hasattr(r, "asDict") else r for r in result(session, s)]
+    assert run("from x where x > 3 andalso x < 7") == [4, 5, 6]
+    assert run("from x, y where x >= 0 andalso x <= 2 andalso y = x * 2 + 1 where y > 1") == [(1, 3), (2, 5)]
+    assert run("from b : bool") == [False, True]
+    assert run('from s : string where String.isPrefix (s, "abc") yield String.size s') == [0, 1, 2, 3]
+    assert run("from x where x elem [9, 8] orelse x = 2 order x") == [2, 8, 9]
+    assert run("from d where exists n : string where (d, n) elem (from e in depts yield {e.deptno, e.dname}) andalso n <> \"SALES\"") == [10, 20, 40]
+    assert run("val next = [(1, 2), (2, 3), (3, 1), (5, 6)]; fun step (a, b) = (a, b) elem next; "
+               "fun path (a, b) = step (a, b) orelse (exists c where path (a, c) andalso step (c, b)); from b where path (2, b) order b") == [1, 2, 3]
+    assert run("from x where x > 0 andalso x < 9 andalso x mod 4 = 1 andalso Int.abs x <> 1") == [5]
+    with pytest.raises(Error, match="enumerate"):
+        run("from x where x > 3")
