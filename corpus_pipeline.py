@@ -1,7 +1,7 @@
 """A training-corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 quality rules: documents that fail the base rules or the compression bands go.
-near copies:   one document of each group of near copies stays (the least doc_id; five-word shingles, similarity 0.8 or more).
+near copies:   one document of each group of near copies stays (the least doc_id; SimHash links, compared exactly, and a prefix join for the rest; five-word shingles, similarity 0.8 or more).
 repeats:       bytes of strings of 50 that also start in a document with a smaller id are cut out.
 mixing:        rows are repeated or left out so that each source comes near its target weight.
 pieces:        texts are encoded as pieces, and decoded again to see that nothing is lost.

@@ -225,15 +225,34 @@ def linked(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """doc_id and form (a 128-bit hash of the lower-cased words) of each row."""
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, form (a 128-bit hash of the lower-cased words) and fp (the fingerprint) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.chunks(batches):
-            forms = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in c.texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary())], names=["doc_id", "form"])
+            own = c.texts(b.column("text"))
+            forms = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in own]
+            prints = np.array([fingerprint(shingle_hashes(t, shingle)) for t in own], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forms, pa.binary()), pa.array(prints.view(np.int64))], names=["doc_id", "form", "fp"])
 
-    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary")
+    return c.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, form binary, fp long")
+
+
+def _print_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (hi, lo) of classes whose fingerprints link: of one fingerprint with its least id, of the links that the ring finds the least ids of both."""
+    heads = c.cut(classes.groupBy("fp").agg(F.min("doc_id").alias("least")), "heads")
+    within = classes.join(heads, "fp").select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    a, b = (heads.select(F.col("fp").alias(k), F.col("least").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    across = fingerprint_links(heads.select("fp", F.lit(0).alias("which"))).select("a", "b").distinct().join(a, "a").join(b, "b").select("x", "y")
+    both = within.unionByName(across).where("x != y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
+    return c.cut(both.distinct(), "linked")
+
+
+def _unjoined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (hi, lo) that are not in one component yet."""
+    for x in ("hi", "lo"):
+        pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part")), x, "left")
+    return pairs.where("coalesce(hi_part, hi) != coalesce(lo_part, lo)").select("hi", "lo")
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -424,22 +443,26 @@ def _apart(crowded: DataFrame, parts: DataFrame, similarity: float) -> DataFrame
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: documents linked by near copies, the Jaccard similarity of whose word shingles is high enough.
 
-    Candidates are all pairs that share one of their rarest shingles (a prefix filter, which misses no pair that is similar enough) and pass its
-    bounds by size and position; each is compared exactly. Of a shingle with many documents the first is compared with all; then
-    all pairs that the links found so far do not join. Documents with the same words in the same order are one class from the start. Documents
-    without an id are classes of their own.
+    Documents with the same words in the same order are one class from the start. Classes whose fingerprints link by the ring are compared
+    exactly, and join if they are similar enough. That misses pairs whose fingerprints differ in more bits, so of the others all pairs are candidates
+    that share one of their rarest shingles (a prefix filter, which misses no pair that is similar enough), pass its bounds by size and position
+    and aren't joined yet; each is compared exactly too. Of a shingle with many documents the first is compared with all; then
+    all pairs that the links found so far do not join. Documents without an id are classes of their own.
     """
-    prints = c.cut(_described(docs).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
+    prints = c.cut(_described(docs, shingle).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "described")
     twice = not prints.groupBy("doc_id").count().where("count > 1").isEmpty()
-    classes = c.cut(prints.groupBy("form").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = c.cut(prints.groupBy("form").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "classes")
     ids = classes.select("doc_id").distinct()
     rows = ids.count()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if rows <= SENT else ids, "doc_id", "left_semi")
+    similar = _similar(docs, _print_pairs(classes), shingle, similarity, twice)
+    parts = components(similar, "hi", "lo")
     dealt = _prefixes(own, shingle, similarity, _frequent(own, shingle)).repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "id")
     found = c.cut(dealt.mapInArrow(_cells(similarity), _CELL_SCHEMA), "cells")
     c.release(docs.sparkSession)
-    pairs = c.cut(found.where("b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "candidates")
-    similar = _similar(docs, pairs, shingle, similarity, twice)
+    pairs = found.where("b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    pairs = c.cut(_unjoined(pairs, parts), "candidates")
+    similar = similar.unionByName(_similar(docs, pairs, shingle, similarity, twice))
     parts = components(similar, "hi", "lo")
     crowded = found.where("b is null").select("key", F.col("a").alias("id"), "n", "rest")
     if not crowded.isEmpty():

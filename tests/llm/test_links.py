@@ -147,6 +147,21 @@ def test_near_copies_beside_a_head_unlike_them(spark, monkeypatch, frequent, cel
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """The ring alone finds copies with a changed word; texts that link but are not similar enough stay apart."""
+    monkeypatch.setattr(simhash, "_prefixes", lambda docs, *_: spark.createDataFrame([], "key long, id long, n int, rest int"))
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(40):
+        own = [f"w{x}" for x in rng.integers(0, 9000, 600)]
+        rows += [" ".join(own), " ".join([*own[:300], "changed", *own[301:]])]
+    rows = [*enumerate(rows), (80, "one two three"), (81, "one two three " * 400), (82, "a " * 300 + "b"), (83, "a " * 300 + "c d")]
+    want = jaccard_components(rows)
+    near = [(fingerprint(a) ^ fingerprint(b)).bit_count() <= 4 for (_, a), (_, b) in zip(rows[82::2], rows[83::2], strict=True)]
+    assert near == [True] and want[83] == 83
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[82] == 82 and got[83] == 83 and sum(got[i] == i - 1 for i in range(1, 80, 2)) >= 30
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 120)] + [(1000 + i, 2000) for i in range(50)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long").repartition(5)).collect()}
