@@ -1,6 +1,9 @@
 """Language identification, quality, mixing and vector search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +185,23 @@ def test_search(spark):
     few = posting_lists.search(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
     assert posting_lists.search(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_lists_of_many_centers_in_bounded_memory():
+    """Lists of many rows among many centers: the same as from all distances at once, a few of which are held at a time; copies go on in small batches."""
+    rng = np.random.default_rng(8)
+    x, centers = rng.normal(size=(6000, 8)), rng.normal(size=(4096, 9))
+    index = posting_lists.Index(centers, float(np.sqrt((x**2).sum(1).max())), [])
+    tracemalloc.start()
+    row, which = index.lists_of(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    full = np.column_stack((x, np.sqrt(np.maximum(index.norm**2 - (x**2).sum(1), 0))))[::600]
+    for r, d in zip(range(0, 6000, 600), posting_lists.distances(full, centers), strict=True):
+        top = np.argsort(d, kind="stable")[: posting_lists.COPIES]
+        assert which[row == r].tolist() == [t for k, t in enumerate(top) if not k or d[t] <= posting_lists.CLOSE**2 * d[top[0]] + 1e-12]
+    b = pa.RecordBatch.from_pydict({"vec_id": [7, 9], "embedding": [[1.0, 2.0], [3.0, 4.0]]})
+    out = list(posting_lists.copied(b, np.repeat([0, 1], 20_000), np.arange(40_000), "query_id"))
+    assert max(o.num_rows for o in out) <= 1 << 13 and [v for o in out for v in o["list"].to_pylist()] == list(range(40_000))
+    assert out[0]["query_id"][0].as_py() == 7 and out[-1]["embedding"][-1].as_py() == [3.0, 4.0]
